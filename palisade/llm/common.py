@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Words are maximal runs of other characters than these; bytes.split() without arguments cuts at exactly them.
 WHITE = b" \t\n\x0b\x0c\r"
@@ -20,17 +22,22 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once into the folder that all executors share (spark.checkpoint.dir)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or on one machine a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared:
-            if not sc.master.startswith("local"):
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             shared = tempfile.mkdtemp(prefix="checkpoint-")
         sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -69,3 +76,19 @@ def training_sample(rows: DataFrame, docs: DataFrame, label: str, per_class: dic
     picked = picked.sparkSession.createDataFrame(picked.toArrow()) if picked.take(1) else picked
     found = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")
     return [(r.text, r.y) for r in sorted(found.collect(), key=lambda r: (r.doc_id, str(r.y), r.text))]
+
+
+def carried(docs: DataFrame) -> DataFrame:
+    """row (a struct of all columns of docs, whatever their names) and text."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"))
+
+
+def passed(batch: pa.RecordBatch, used: tuple[str, ...]) -> tuple[list[pa.Array], list[str]]:
+    """The columns of a batch that are not used up, and their names."""
+    names = [c for c in batch.schema.names if c not in used]
+    return [batch.column(c) for c in names], names
+
+
+def extended(df: DataFrame, used: tuple[str, ...], fields: str) -> StructType:
+    """The columns of df that are not used up, and more fields (as DDL)."""
+    return StructType([f for f in df.schema.fields if f.name not in used] + StructType.fromDDL(fields).fields)

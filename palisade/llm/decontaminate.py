@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import load, texts
+from palisade.llm.common import carried, extended, load, passed, texts
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -89,6 +89,9 @@ class Patterns:
         return spans, items
 
 
+_LAST = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
+
+
 def _scan(block, last: bool):
     """Adds what one block of items hits to the marks of earlier blocks; after the last one, counts."""
 
@@ -110,34 +113,44 @@ def _scan(block, last: bool):
                     np.add.at(edges, pairs[:, 0], 1)
                     np.add.at(edges, pairs[:, 1], -1)
                 counts.append((len(words), int((np.cumsum(edges) > 0).sum())))
-            ids = batch.column("doc_id")
-            if not last:
-                yield pa.RecordBatch.from_arrays([ids, batch.column("text"), pa.array(marks, pa.binary()), pa.array(found, pa.list_(pa.string()))], ["doc_id", "text", "spans", "items"])
-                continue
-            digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in found]
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([x for x, _ in counts], pa.int64()), pa.array([x for _, x in counts], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(digests), pa.array([x > 0 for _, x in counts]), pa.array(marks, pa.binary())],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
-            )
+            columns, names = passed(batch, ("text", "spans", "items"))
+            if last:
+                digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in found]
+                columns += [pa.array([x for x, _ in counts], pa.int64()), pa.array([x for _, x in counts], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(digests, pa.string()), pa.array([x > 0 for _, x in counts], pa.bool_()), pa.array(marks, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, [*names, *_LAST])
+            else:
+                columns += [batch.column("text"), pa.array(marks, pa.binary()), pa.array(found, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, [*names, "text", "spans", "items"])
 
     return run
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (pairs of 32-bit word positions) for each row of docs(doc_id, text); benchmark has item_id and text."""
-    spark = docs.sparkSession
+def mark(rows: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The columns of rows but text, then n_words, n_hit, n_items, items_sha256, contaminated, spans (pairs of 32-bit word positions)."""
+    spark = rows.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("binary").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    rows = rows.withColumns({"spans": F.lit(None).cast("binary"), "items": F.lit(None).cast("array<string>")})
     for k in range(blocks):
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
         held = spark.sparkContext.broadcast(Patterns([(r.item_id, r.text.encode()) for r in block.collect()], window))
         last = k == blocks - 1
-        rows = rows.mapInArrow(_scan(held, last), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans binary" if last else "doc_id long, text string, spans binary, items array<string>")
+        fields = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans binary" if last else "text string, spans binary, items array<string>"
+        rows = rows.mapInArrow(_scan(held, last), extended(rows, ("text", "spans", "items"), fields))
     return rows
 
 
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id and the marks for each row of docs(doc_id, text); benchmark has item_id and text."""
+    return mark(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, window, block_bytes)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs(text, and any other columns) that hold no window of the benchmark."""
+    return mark(carried(docs), benchmark, window).where("NOT contaminated").select("row.*")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return find_benchmark(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("spans")
 

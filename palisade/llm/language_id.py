@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import fold, load, training_sample
+from palisade.llm.common import carried, extended, fold, load, passed, training_sample
 from palisade.llm.subword import BUCKETS, GRAMS, WIDTH, Bags, grams, softmax, words_of
 
 PER_CLASS, MAX_LANGUAGES, FOLDS, HELD_OUT = 500, 200, 4, 2
@@ -127,10 +127,9 @@ def _tell(held):
         teller = Teller(held.value)
         for batch in batches:
             told = [teller.tell(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array([x[0] for x in told], pa.string()), pa.array([x[1] for x in told], pa.float64()), pa.array([x[2] for x in told], pa.bool_())],
-                [*(c for c in batch.schema.names if c != "text"), "lang_pred", "score", "rejected"],
-            )
+            columns, names = passed(batch, ("text",))
+            columns += [pa.array([x[0] for x in told], pa.string()), pa.array([x[1] for x in told], pa.float64()), pa.array([x[2] for x in told], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "lang_pred", "score", "rejected"])
 
     return run
 
@@ -142,11 +141,20 @@ def fit(docs: DataFrame, per_class: int = PER_CLASS) -> Model | None:
     return train(training_sample(rows, docs, "lang", dict.fromkeys(sorted(languages), per_class), 4)) if languages else None
 
 
+def tell(rows: DataFrame, model: Model | None) -> DataFrame:
+    """The columns of rows but text, then lang_pred, score, rejected."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
+    return rows.mapInArrow(_tell(held), extended(rows, ("text",), "lang_pred string, score double, rejected boolean"))
+
+
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for each row of docs(doc_id, text)."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "text")
-    return rows.mapInArrow(_tell(held), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return tell(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "text"), model)
+
+
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of docs(text, and any other columns) whose language is told with confidence."""
+    return tell(carried(docs), model).where("NOT rejected").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -220,6 +220,12 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     return component.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs(doc_id, text, and any other columns) without those whose component has a smaller doc_id; rows without doc_id stay."""
+    late = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_late")).distinct()
+    return docs.join(late, docs["doc_id"].cast("long") == late["_late"], "left_anti")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))
 
