@@ -11,6 +11,12 @@ from palisade.llm.common import checkpointed
 MOST_ROUNDS = 60
 
 
+def _state(edges: DataFrame) -> tuple:
+    """What tells one set of edges from another: their number and two sums of hashes."""
+    h = F.xxhash64("u", "v")
+    return tuple(edges.agg(F.count("*"), F.sum(h.cast("decimal(20,0)")), F.sum(F.xxhash64("v", "u", F.lit(1)).cast("decimal(20,0)"))).first())
+
+
 def connected(links: DataFrame) -> DataFrame:
     """id, component (its smallest id) for every id in links(a, b).
 
@@ -19,16 +25,16 @@ def connected(links: DataFrame) -> DataFrame:
     collected into one row. Links stay as many as they were at most.
     """
     edges = checkpointed(links.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+    state = _state(edges)
     for _ in range(MOST_ROUNDS):
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
-        large = both.join(low, "u").where("v > u").select(F.col("low").alias("u"), "v").where("u <> v").distinct()
+        large = both.join(low, "u").where("v > u AND v <> low").select(F.col("low").alias("u"), "v")
         low = large.groupBy("v").agg(F.min("u").alias("low"))
-        small = large.join(low, "v")
-        new = checkpointed(small.select(F.col("low").alias("x"), F.col("v").alias("y")).unionByName(small.select(F.least("low", "u").alias("x"), F.greatest("low", "u").alias("y"))).where("x <> y").select(F.col("x").alias("u"), F.col("y").alias("v")).distinct())
-        changed = new.exceptAll(edges).take(1) or edges.exceptAll(new).take(1)
-        edges = new
-        if not changed:
+        small = large.join(low, "v").select(F.explode(F.array(F.struct(F.col("low").alias("u"), "v"), F.struct(F.col("low").alias("u"), F.col("u").alias("v")))).alias("e"))
+        edges = checkpointed(small.select("e.*").where("u <> v").distinct())
+        before, state = state, _state(edges)
+        if state == before:
             break
     else:
         raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")

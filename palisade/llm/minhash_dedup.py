@@ -4,13 +4,13 @@
    one, chosen by a hash of the bin and the attempt, alike for all texts. Bins are joined to BANDS bands.
 2. Rows with the same set are one class (found by a digest of the set), represented by its smallest doc_id; from here on
    there are representatives only, so copies never multiply.
-3. Each round links every member of a bucket to one hub only (the smallest doc_id in round one, then another member by a
-   hash each round), so a bucket of n members makes n - 1 candidate edges. Edges whose packed signatures differ too much to
-   reach the threshold are left out, the rest is confirmed on the full sets, and components are updated. From the second
-   round on only members that another component than the hub's holds are compared.
-4. What the stars leave: members of one bucket that are in different components after the last round are compared with
-   each other, once per pair, under the same signature test, and confirmed on the full sets; so no link is lost to the
-   choice of hubs. These pairs are few: a text in a group of near copies joins it as soon as one hub resembles it.
+3. Each member of a bucket is linked to the bucket's hubs only: its smallest doc_id and HUBS - 1 more members by hashes, so a
+   bucket of n members makes fewer than HUBS * n candidate edges. Edges whose packed signatures differ too much to reach the
+   threshold are left out, the rest is confirmed on the full sets, and gives components.
+4. What the stars leave: members of one bucket that are in different components afterwards are compared with each other under
+   two tests, the same one of signatures and an exact one: a shingle that occurs in one text only is in no intersection, so
+   with u such shingles of n in each text the similarity is at most min(n - u) / (u + u' + max(n - u)). Texts that were edited
+   apart fail it at once. Pairs that pass are confirmed on the full sets, so no link is lost to the choice of hubs.
 
 The bands miss a pair at the threshold of 0.8 with probability (1 - 0.8 ** 4) ** 32 = 5e-8; the signature test drops one
 at 0.65 or less by estimate, 3.7 standard errors below the threshold.
@@ -39,7 +39,7 @@ BANDS = BINS // ROWS
 #: Bits of a bin in the packed signature, and the estimate of the similarity below which a pair is not confirmed.
 BITS, LEAST = 4, 0.65
 WORDS_PACKED = BINS * BITS // 64
-ROUNDS = 4
+HUBS = 4
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -95,7 +95,8 @@ def signature(found: np.ndarray) -> np.ndarray:
 
 
 def bands_of(sig: np.ndarray) -> np.ndarray:
-    out = np.zeros(BANDS, np.uint64)
+    """One 64-bit key for each band, from its number and its bins."""
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
     for part in sig.reshape(BANDS, ROWS).T:
         out = _mix(out * _ODD + part)
     return out
@@ -160,12 +161,22 @@ def _confirm(percent: int):
     return run
 
 
-def _alike(a: str, b: str):
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, hash) for every hash of every set."""
+    for batch in batches:
+        for rep, x in zip(batch.column("rep").to_pylist(), batch.column("hashes"), strict=True):
+            found = np.frombuffer(x.as_buffer(), np.int64)
+            for i in range(0, len(found), 100_000):
+                part = found[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), rep), pa.int64()), pa.array(part)], ["rep", "hash"])
+
+
+def _alike(x, y):
     """Whether two packed signatures agree enough: of the bits, all of the bins that agree and half of the others' do."""
     bits = None
     for i in range(WORDS_PACKED):
-        x = F.bit_count(F.col(f"{a}.packed")[i].bitwiseXOR(F.col(f"{b}.packed")[i]))
-        bits = x if bits is None else bits + x
+        z = F.bit_count(x[i].bitwiseXOR(y[i]))
+        bits = z if bits is None else bits + z
     return bits <= int((1 - LEAST) / 2 * BINS * BITS)
 
 
@@ -177,12 +188,21 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text) that has an id."""
     signed = checkpointed(signatures(docs, k))
-    classes = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("packed").alias("packed"))
-    buckets = classes.select("rep", "packed", F.posexplode("bands").alias("band", "value"))
-    sizes = buckets.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    # A set that two texts with different ids share is in one class, unless rows share an id; a representative counts once.
-    members = checkpointed(buckets.join(sizes, ["band", "value"]).dropDuplicates(["band", "value", "rep"]))
-    needed = members.select(F.col("rep").alias("doc_id")).distinct()
+    classes = checkpointed(signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("packed").alias("packed")))
+    keys = classes.select("rep", F.explode("bands").alias("key"))
+    hubs = F.array_distinct(F.array(F.min("rep"), *(F.min_by("rep", F.xxhash64("rep", F.lit(i))) for i in range(1, HUBS))))
+    buckets = keys.groupBy("key").agg(F.count("*").alias("size"), hubs.alias("hubs")).where("size > 1")
+    members = checkpointed(keys.join(buckets, "key"))
+
+    def signed_pairs(pairs: DataFrame) -> DataFrame:
+        a, b = classes.select(F.col("rep").alias("a"), F.col("packed").alias("pa")), classes.select(F.col("rep").alias("b"), F.col("packed").alias("pb"))
+        return pairs.join(a, "a").join(b, "b").where(_alike(F.col("pa"), F.col("pb"))).select("a", "b")
+
+    star = members.select("rep", F.explode("hubs").alias("hub")).where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    edges = checkpointed(signed_pairs(star))
+    # Buckets of which the stars have not compared all pairs.
+    open_ = members.where(F.col("size") > F.size("hubs") + 1).select("key", "rep")
+    needed = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).union(open_.select("rep")).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed, "doc_id", "left_semi").withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"])
     hashes = checkpointed(rows.mapInArrow(_sets(k), "rep long, hashes binary"))
 
@@ -190,32 +210,22 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
         a, b = hashes.select(F.col("rep").alias("a"), F.col("hashes").alias("ha")), hashes.select(F.col("rep").alias("b"), F.col("hashes").alias("hb"))
         return checkpointed(pairs.join(a, "a").join(b, "b").select("a", "ha", "b", "hb").mapInArrow(_confirm(percent), "a long, b long"))
 
-    links = labels = None
-    for turn in range(ROUNDS):
-        at = members if labels is None else members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
-        order = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
-        columns = ["rep", "packed"] + (["label"] if labels is not None else [])
-        aggregates = [F.min_by(F.struct(*columns), order).alias("hub")] + ([F.min("label").alias("low"), F.max("label").alias("high")] if labels is not None else [])
-        hubs = at.groupBy("band", "value").agg(*aggregates)
-        if labels is not None:
-            hubs = hubs.where("low < high").drop("low", "high")
-        star = at.alias("m").join(hubs.alias("h"), ["band", "value"]).where((F.col("m.rep") != F.col("h.hub.rep")) & _alike("m", "h.hub"))
-        if labels is not None:
-            star = star.where(F.col("m.label") != F.col("h.hub.label"))
-        edges = star.select(F.least("m.rep", "h.hub.rep").alias("a"), F.greatest("m.rep", "h.hub.rep").alias("b")).distinct()
-        found = confirmed(edges)
-        if turn and not found.take(1):
-            break
-        links = found if links is None else links.unionByName(found)
-        labels = connected(links)
-    # The members of a bucket that are still apart, each pair in the first band that it shares.
-    at = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
-    mixed = at.groupBy("band", "value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").drop("low", "high")
-    apart = at.join(mixed, ["band", "value"])
-    pairs = apart.alias("m").join(apart.alias("o"), (F.col("m.band") == F.col("o.band")) & (F.col("m.value") == F.col("o.value")) & (F.col("m.rep") < F.col("o.rep")) & (F.col("m.label") != F.col("o.label")) & _alike("m", "o"))
-    found = confirmed(pairs.select(F.col("m.rep").alias("a"), F.col("o.rep").alias("b")).distinct())
-    if found.take(1):
-        labels = connected(links.unionByName(found))
+    links = confirmed(edges)
+    labels = connected(links)
+    at = open_.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
+    mixed = at.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    apart = checkpointed(at.join(mixed, "key"))
+    if not apart.isEmpty():
+        owned = hashes.join(apart.select("rep").distinct(), "rep", "left_semi").mapInArrow(_single, "rep long, hash long")
+        alone = owned.groupBy("hash").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).where("c = 1").groupBy("rep").agg(F.count("*").alias("u"))
+        facts = classes.select("rep", "n", "packed").join(apart.select("rep").distinct(), "rep", "left_semi").join(alone, "rep", "left").select("rep", "packed", F.coalesce("u", F.lit(0)).alias("u"), (F.col("n") - F.coalesce("u", F.lit(0))).alias("rest"))
+        sides = checkpointed(apart.join(facts, "rep"))
+        m, o = sides.alias("m"), sides.alias("o")
+        possible = F.lit(100) * F.least("m.rest", "o.rest") >= F.lit(percent) * (F.col("m.u") + F.col("o.u") + F.greatest("m.rest", "o.rest"))
+        pairs = m.join(o, (F.col("m.key") == F.col("o.key")) & (F.col("m.rep") < F.col("o.rep")) & (F.col("m.label") != F.col("o.label")) & possible & _alike(F.col("m.packed"), F.col("o.packed")))
+        found = confirmed(pairs.select(F.col("m.rep").alias("a"), F.col("o.rep").alias("b")).distinct())
+        if not found.isEmpty():
+            labels = connected(links.unionByName(found))
     component = signed.join(classes.select("digest", "rep"), "digest", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     return component.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
