@@ -92,11 +92,10 @@ class Patterns:
 _LAST = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
 
 
-def _scan(block, last: bool):
+def _scan(patterns: Patterns, last: bool):
     """Adds what one block of items hits to the marks of earlier blocks; after the last one, counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = block.value
         for batch in batches:
             marks, found, counts = [], [], []
             for t, before, had in zip(texts(batch), batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True):
@@ -134,7 +133,7 @@ def mark(rows: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     rows = rows.withColumns({"spans": F.lit(None).cast("binary"), "items": F.lit(None).cast("array<string>")})
     for k in range(blocks):
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
-        held = spark.sparkContext.broadcast(Patterns([(r.item_id, r.text.encode()) for r in block.collect()], window))
+        held = Patterns([(r.item_id, r.text.encode()) for r in block.collect()], window)
         last = k == blocks - 1
         fields = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans binary" if last else "text string, spans binary, items array<string>"
         rows = rows.mapInArrow(_scan(held, last), extended(rows, ("text", "spans", "items"), fields))

@@ -122,9 +122,9 @@ class Teller:
         return self.model.languages[best], float(p[best]), bool(p[best] < self.model.threshold)
 
 
-def _tell(held):
+def _tell(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        teller = Teller(held.value)
+        teller = Teller(model)
         for batch in batches:
             told = [teller.tell(t) for t in batch.column("text").to_pylist()]
             columns, names = passed(batch, ("text",))
@@ -143,8 +143,7 @@ def fit(docs: DataFrame, per_class: int = PER_CLASS) -> Model | None:
 
 def tell(rows: DataFrame, model: Model | None) -> DataFrame:
     """The columns of rows but text, then lang_pred, score, rejected."""
-    held = rows.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_tell(held), extended(rows, ("text",), "lang_pred string, score double, rejected boolean"))
+    return rows.mapInArrow(_tell(model), extended(rows, ("text",), "lang_pred string, score double, rejected boolean"))
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:

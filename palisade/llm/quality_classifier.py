@@ -88,9 +88,9 @@ def train(rows: list[tuple[str, int]], share: float = 0.5) -> Model | None:
 _FIELDS = "doc_id long, held_out boolean, score double, predicted int"
 
 
-def _score(held):
+def _score(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(held.value) if held.value else None
+        scorer = Scorer(model) if model else None
         for batch in batches:
             scores = [scorer.score(t) if scorer else 0.0 for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= CUTOFF) for s in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
@@ -104,9 +104,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
     counts = {r.quality: r["count"] for r in rows.where("quality IN (0, 1)").groupBy("quality").count().collect()}
     share = min(max(counts.get(1, 0) / max(1, sum(counts.values())), 0.05), 0.95)
     model = train(training_sample(rows, docs, "quality", {0: per_class, 1: per_class}, 6), share)
-    held = docs.sparkSession.sparkContext.broadcast(model)
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False)))
-    return out.mapInArrow(_score(held), _FIELDS)
+    return out.mapInArrow(_score(model), _FIELDS)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -122,9 +122,9 @@ def document(model: Model, words: list[str], cache: dict | None = None) -> float
     return float(top + np.log(np.exp(z - top).sum()))
 
 
-def _score(held):
+def _score(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, cache = held.value, {}
+        cache: dict = {}
         for batch in batches:
             scores = []
             for t in batch.column("text").to_pylist():
@@ -140,9 +140,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
     """doc_id, held_out, score, predicted for each row of docs(doc_id, text); labels has doc_id and toxic."""
     rows = labels.select("doc_id", "toxic").where((fold("doc_id", FOLDS) != HELD_OUT) & F.col("toxic").isNotNull())
     model = train(training_sample(rows, docs, "toxic", {0: per_class, 1: per_class}, 3))
-    held = docs.sparkSession.sparkContext.broadcast(model)
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False)))
-    return out.mapInArrow(_score(held), "doc_id long, held_out boolean, score double, predicted int")
+    return out.mapInArrow(_score(model), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
