@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.functions.text import stable_id
@@ -14,15 +14,15 @@ def coalesced(findings: DataFrame) -> DataFrame:
     """One row for each secret and project, with id, united locations and no related ids.
 
     Rows are grouped by category, rule or class, fingerprint and severity. Where a group knows exactly one project, rows
-    without one join it; otherwise there is a row for each project and one for those without. Two aggregations, combined
-    before their shuffles; the second is on a superset of the first one's keys.
+    without one join it; otherwise there is a row for each project and one for those without. Findings are read once and
+    combined by group and project before the shuffle; projects are reconciled among the few rows that are left of a group.
     """
-    known = findings.groupBy(*BASE).agg(F.min("project_url").alias("low"), F.max("project_url").alias("high"))
-    joined = findings.join(known, [*BASE])
-    project = F.coalesce("project_url", F.when(F.col("low") == F.col("high"), F.col("low")))
-    first = F.array_min(F.transform("locations", lambda x: F.struct(x["path"], x["line"], x["col_start"])))
-    head = F.struct(first.alias("first"), "rule_id", "confidence", "redacted", "key_class")
-    out = joined.withColumn("project_url", project).groupBy(*BASE, "project_url").agg(F.min(head).alias("head"), F.flatten(F.collect_set("locations")).alias("locations"))
+    head = F.struct("own_id", "rule_id", "confidence", "redacted", "key_class")
+    each = findings.groupBy(*BASE, "project_url").agg(F.min(head).alias("head"), F.flatten(F.collect_set("locations")).alias("locations"))
+    group = Window.partitionBy(*BASE)
+    low, high = F.min("project_url").over(group), F.max("project_url").over(group)
+    each = each.withColumn("project_url", F.coalesce("project_url", F.when(low == high, low)))
+    out = each.groupBy(*BASE, "project_url").agg(F.min("head").alias("head"), F.flatten(F.collect_list("locations")).alias("locations"))
     prefix = F.when(F.col("rule_or_class").startswith("supabase-key:"), F.lit("supabase-key")).otherwise(F.lit("secret"))
     identity = stable_id(prefix, F.col("category"), F.col("rule_or_class"), F.col("fingerprint"), F.coalesce("project_url", F.lit("<none>")), F.col("severity"))
     return out.select(

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.functions.keys import project_hint
 from palisade.functions.rules import DEFAULT, Allowlist, Rule, Ruleset, java_pattern
-from palisade.functions.text import ascii_lower, entropy, fingerprint, lines, redact
+from palisade.functions.text import ascii_lower, entropy, lines
 
 
 def _any(tests: list[Column]) -> Column:
@@ -33,18 +34,18 @@ def _listed(a: Allowlist, line: Column, raw: Column, location: Column) -> Column
 
 
 def detect(units: DataFrame, ruleset: Ruleset = DEFAULT) -> DataFrame:
-    """content_id, rule_id, kind, line_no, col_start, col_end, raw, entropy, locations; one row for each match that some location keeps.
+    """content_id, hint, rule_id, kind, line_no, col_start, col_end, raw, entropy, locations; one row for each match that some location keeps.
 
-    units has content_id, content and locations. Lines that no keyword of any rule is in are dropped before any pattern
+    units has content_id, content and locations; hint is the project that the unit names, found before its lines are cut. Lines that no keyword of any rule is in are dropped before any pattern
     runs; entropy is computed for matches only. raw is for internal use: take findings() for output.
     """
-    rows = units.where(F.is_valid_utf8("content")).select("content_id", "locations", F.posexplode(lines(F.col("content"))).alias("at", "line")).withColumn("lower", ascii_lower(F.col("line")))
+    rows = units.where(F.is_valid_utf8("content")).select("content_id", "locations", project_hint(F.col("content")).alias("hint"), F.posexplode(lines(F.col("content"))).alias("at", "line")).withColumn("lower", ascii_lower(F.col("line")))
     if all(r.keywords for r in ruleset.rules):
         rows = rows.where(_any([F.contains("lower", F.lit(k)) for k in sorted({k for r in ruleset.rules for k in r.keywords})]))
     if ruleset.allow_marker:
         rows = rows.where(~F.contains("line", F.lit(ruleset.allow_marker)))
     hits = F.array(*(F.struct(F.lit(i).alias("rule"), _matches(r, F.col("line"), F.col("lower"), ruleset.max_minified_line).alias("found")) for i, r in enumerate(ruleset.rules)))
-    rows = rows.select("content_id", "locations", "line", (F.col("at") + 1).alias("line_no"), F.explode(F.filter(hits, lambda h: F.size(h["found"]) > 0)).alias("hit"))
+    rows = rows.select("content_id", "hint", "locations", "line", (F.col("at") + 1).alias("line_no"), F.explode(F.filter(hits, lambda h: F.size(h["found"]) > 0)).alias("hit"))
 
     # Places of the matches: each is sought from the end of the one before, in code points.
     def place(state: Column, m: Column) -> Column:
@@ -55,7 +56,7 @@ def detect(units: DataFrame, ruleset: Ruleset = DEFAULT) -> DataFrame:
 
     empty = F.struct(F.lit(1).alias("next"), F.lit([]).cast("array<struct<raw:string,col_start:int,col_end:int>>").alias("out"))
     placed = F.aggregate(F.col("hit.found"), empty, place, lambda s: s["out"])
-    rows = rows.select("content_id", "locations", "line", "line_no", F.col("hit.rule").alias("rule"), F.explode(placed).alias("m")).select("*", "m.*").drop("m")
+    rows = rows.select("content_id", "hint", "locations", "line", "line_no", F.col("hit.rule").alias("rule"), F.explode(placed).alias("m")).select("*", "m.*").drop("m")
     rows = rows.withColumn("entropy", entropy(F.col("raw")))
     line, raw = F.col("line"), F.col("raw")
     threshold, kept = F.lit(None).cast("double"), F.lit(None)
@@ -75,24 +76,9 @@ def detect(units: DataFrame, ruleset: Ruleset = DEFAULT) -> DataFrame:
         return out
 
     rows = rows.where(F.coalesce(F.col("entropy") >= threshold, F.lit(True))).withColumn("locations", F.filter("locations", stays)).where(F.size("locations") > 0)
-    return rows.select("content_id", rule_id.alias("rule_id"), kind.alias("kind"), F.col("line_no").cast("int").alias("line_no"), "col_start", "col_end", "raw", "entropy", "locations")
-
-
-_GENERIC = {"provider_secret": ("high", "likely"), "private_key": ("high", "likely"), "possible_supabase_key": ("low", "review")}
+    return rows.select("content_id", "hint", rule_id.alias("rule_id"), kind.alias("kind"), F.col("line_no").cast("int").alias("line_no"), "col_start", "col_end", "raw", "entropy", "locations")
 
 
 def spans(locations: str = "locations") -> Column:
     """Locations with the place of a candidate."""
     return F.transform(locations, lambda x: F.struct(x["path"].alias("path"), F.col("line_no").alias("line"), F.col("col_start").alias("col_start"), F.col("col_end").alias("col_end"), x["prov_kind"].alias("prov_kind"), x["sha"].alias("sha"), x["shas"].alias("shas"), x["location_class"].alias("location_class")))
-
-
-def generic_findings(candidates: DataFrame) -> DataFrame:
-    """Findings of all candidates but keys, without their raw values."""
-    severity, confidence = F.lit("medium"), F.lit("review")
-    for kind, (s, c) in _GENERIC.items():
-        severity, confidence = F.when(F.col("kind") == kind, s).otherwise(severity), F.when(F.col("kind") == kind, c).otherwise(confidence)
-    none = F.lit(None).cast("string")
-    return candidates.where("kind <> 'possible_supabase_key'").select(
-        F.lit("secret_exposure").alias("category"), severity.alias("severity"), confidence.alias("confidence"), F.col("rule_id"), F.col("rule_id").alias("rule_or_class"),
-        fingerprint(F.col("raw")).alias("fingerprint"), redact(F.col("raw")).alias("redacted"), none.alias("key_class"), none.alias("project_url"), spans().alias("locations"),
-    )

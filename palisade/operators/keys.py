@@ -1,4 +1,4 @@
-"""Key candidates to key findings."""
+"""Candidates to findings: keys by what they are, the rest by the kind of their rule."""
 
 from __future__ import annotations
 
@@ -6,18 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions.keys import ELEVATED, classified
-from palisade.functions.text import fingerprint, normalized_url, redact
+from palisade.functions.rank import mapped
+from palisade.functions.text import fingerprint, normalized_url, redact, stable_id
 from palisade.operators.detect import spans
 
 
-def key_findings(candidates: DataFrame, hints: DataFrame) -> DataFrame:
-    """Findings of the key candidates; hints(content_id, hint) gives the project named in a unit.
-
-    hint is computed once for each unit, not for each candidate; raw values end here.
-    """
-    rows = candidates.where("kind = 'possible_supabase_key'").join(hints.where("hint IS NOT NULL"), "content_id", "left").withColumn("c", classified(F.col("raw"), F.col("hint")))
-    category = F.when(F.col("c.key_class").isin(*ELEVATED), "secret_exposure").otherwise("supabase_key")
+def findings_of(candidates: DataFrame) -> DataFrame:
+    """Findings of all candidates in one pass over them; raw values end here."""
+    is_key = F.col("kind") == "possible_supabase_key"
+    rows = candidates.withColumn("c", F.when(is_key, classified(F.col("raw"), F.col("hint"))))
+    category = F.when(is_key & ~F.col("c.key_class").isin(*ELEVATED), "supabase_key").otherwise("secret_exposure")
+    severity = F.when(is_key, F.col("c.severity")).otherwise(mapped(F.col("kind"), {"provider_secret": "high", "private_key": "high"}, "medium"))
+    confidence = F.when(is_key, F.col("c.confidence")).otherwise(mapped(F.col("kind"), {"provider_secret": "likely", "private_key": "likely"}, "review"))
+    group = F.when(is_key, F.concat(F.lit("supabase-key:"), F.col("c.key_class"))).otherwise(F.col("rule_id"))
+    place = spans()
+    # What a finding is called before it is merged with others decides which of them gives the merged one its texts.
+    own = stable_id("own", F.coalesce("c.key_class", "rule_id"), fingerprint(F.col("raw")), F.get("locations", F.lit(0))["path"])
     return rows.select(
-        category.alias("category"), "c.severity", "c.confidence", "rule_id", F.concat(F.lit("supabase-key:"), F.col("c.key_class")).alias("rule_or_class"),
-        fingerprint(F.col("raw")).alias("fingerprint"), redact(F.col("raw")).alias("redacted"), "c.key_class", normalized_url(F.col("c.project_url")).alias("project_url"), spans().alias("locations"),
+        category.alias("category"), severity.alias("severity"), confidence.alias("confidence"), "rule_id", group.alias("rule_or_class"), fingerprint(F.col("raw")).alias("fingerprint"),
+        redact(F.col("raw")).alias("redacted"), "c.key_class", normalized_url(F.col("c.project_url")).alias("project_url"), own.alias("own_id"), place.alias("locations"),
     )

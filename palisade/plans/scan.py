@@ -7,14 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.functions.keys import project_hint
 from palisade.functions.rules import DEFAULT, Ruleset
 from palisade.operators.coalesce import coalesced
 from palisade.operators.correlate import finalize, ranked, stats
 from palisade.operators.dependencies import dependencies, structural
-from palisade.operators.detect import detect, generic_findings
-from palisade.operators.keys import key_findings
+from palisade.operators.detect import detect
+from palisade.operators.keys import findings_of
 from palisade.operators.units import collect_units, counters, scannable
+from palisade.plans.shared import checkpointed
 
 
 @dataclass
@@ -27,9 +27,7 @@ class Scan:
 
 def secret_findings(units: DataFrame, ruleset: Ruleset = DEFAULT) -> DataFrame:
     """Coalesced findings of units; nothing raw leaves."""
-    candidates = detect(units, ruleset)
-    hints = units.select("content_id", project_hint(F.col("content")).alias("hint"))
-    return coalesced(key_findings(candidates, hints).unionByName(generic_findings(candidates)))
+    return coalesced(findings_of(detect(units, ruleset)))
 
 
 def dependency_findings(checks: DataFrame) -> DataFrame:
@@ -50,5 +48,6 @@ def scan(files: DataFrame, ruleset: Ruleset = DEFAULT, rls: DataFrame | None = N
     found = secret_findings(units, ruleset).unionByName(dependency_findings(structural(deps.where("error IS NULL"))))
     if rls is not None:
         found = found.unionByName(rls)
-    final = finalize(found, baseline)
+    # Correlation reads findings several times; files are read and searched once.
+    final = checkpointed(finalize(checkpointed(found), baseline))
     return Scan(ranked(final), stats(final), counters(kept), deps)
