@@ -221,7 +221,7 @@ def probe_outcomes(spark, sf_dir):
     return rls.probe(frame(spark, sf_dir, "probed"), frame(spark, sf_dir, "responses"))
 
 
-@query(f"""WITH {sql("roots")} SELECT DISTINCT project_url, t AS "table" FROM (SELECT project_url, unnest([regexp_extract(body, '"/([a-z ]+)":', 1), regexp_extract(body, '"/(t[0-9])"', 1)]) AS t FROM roots)""")
+@query(f"""WITH {sql("roots")} SELECT DISTINCT project_url, t AS "table" FROM (SELECT project_url, unnest([regexp_extract(body, '"/([a-z]+_[0-9]+)":', 1), regexp_extract(body, '"/(t[0-9])"', 1)]) AS t FROM roots)""")
 def openapi_tables(spark, sf_dir):
     return rls.openapi_tables(frame(spark, sf_dir, "roots"))
 
