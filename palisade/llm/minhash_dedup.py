@@ -10,7 +10,7 @@
 4. What the stars leave: members of one bucket that are in different components afterwards are compared with each other under
    two tests, the same one of signatures and an exact one: a shingle that occurs in one text only is in no intersection, so
    with u such shingles of n in each text the similarity is at most min(n - u) / (u + u' + max(n - u)). Texts that were edited
-   apart fail it at once. Pairs that pass are confirmed on the full sets, so no link is lost to the choice of hubs.
+   apart fail it at once. A pair is taken in the smallest key that its bands share, so once. Pairs that pass are confirmed on the full sets, so no link is lost to the choice of hubs.
 
 The bands miss a pair at the threshold of 0.8 with probability (1 - 0.8 ** 4) ** 32 = 5e-8; the signature test drops one
 at 0.65 or less by estimate, 3.7 standard errors below the threshold.
@@ -218,11 +218,12 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     if not apart.isEmpty():
         owned = hashes.join(apart.select("rep").distinct(), "rep", "left_semi").mapInArrow(_single, "rep long, hash long")
         alone = owned.groupBy("hash").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).where("c = 1").groupBy("rep").agg(F.count("*").alias("u"))
-        facts = classes.select("rep", "n", "packed").join(apart.select("rep").distinct(), "rep", "left_semi").join(alone, "rep", "left").select("rep", "packed", F.coalesce("u", F.lit(0)).alias("u"), (F.col("n") - F.coalesce("u", F.lit(0))).alias("rest"))
+        facts = classes.select("rep", "n", "packed", "bands").join(apart.select("rep").distinct(), "rep", "left_semi").join(alone, "rep", "left").select("rep", "packed", "bands", F.coalesce("u", F.lit(0)).alias("u"), (F.col("n") - F.coalesce("u", F.lit(0))).alias("rest"))
         sides = checkpointed(apart.join(facts, "rep"))
         m, o = sides.alias("m"), sides.alias("o")
         possible = F.lit(100) * F.least("m.rest", "o.rest") >= F.lit(percent) * (F.col("m.u") + F.col("o.u") + F.greatest("m.rest", "o.rest"))
-        pairs = m.join(o, (F.col("m.key") == F.col("o.key")) & (F.col("m.rep") < F.col("o.rep")) & (F.col("m.label") != F.col("o.label")) & possible & _alike(F.col("m.packed"), F.col("o.packed")))
+        first = F.array_min(F.array_intersect("m.bands", "o.bands")) == F.col("m.key")
+        pairs = m.join(o, (F.col("m.key") == F.col("o.key")) & (F.col("m.rep") < F.col("o.rep")) & (F.col("m.label") != F.col("o.label")) & possible & _alike(F.col("m.packed"), F.col("o.packed")) & first)
         found = confirmed(pairs.select(F.col("m.rep").alias("a"), F.col("o.rep").alias("b")).distinct())
         if not found.isEmpty():
             labels = connected(links.unionByName(found))
