@@ -4,8 +4,8 @@
    one, chosen by a hash of the bin and the attempt, alike for all texts. Bins are joined to BANDS bands.
 2. Rows with the same set are one class (found by a digest of the set), represented by its smallest doc_id; from here on
    there are representatives only, so copies never multiply.
-3. Each member of a bucket is linked to the bucket's hubs only: its smallest doc_id and HUBS - 1 more by hashes, so a
-   bucket of n members makes fewer than HUBS * n candidate edges. Edges whose packed signatures differ too much to reach the
+3. Each member of a bucket is linked to its HUBS hubs only (the smallest doc_id, then others by hashes), so a
+   bucket of n members makes fewer than HUBS * n candidate edges; a text has a hub in each of its up to BANDS buckets. Edges whose packed signatures differ too much to reach the
    threshold are left out, the rest is confirmed on the full sets, and gives components.
 4. What the stars leave: members of one bucket that are in different components afterwards are compared with each other under
    two tests, the same one of signatures and an exact one: a shingle that occurs in one text only is in no intersection, so
@@ -39,7 +39,7 @@ BANDS = BINS // ROWS
 #: Bits of a bin in the packed signature, and the estimate of the similarity below which a pair is not confirmed.
 BITS, LEAST = 4, 0.65
 WORDS_PACKED = BINS * BITS // 64
-HUBS = 2
+HUBS = 1
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
