@@ -45,23 +45,28 @@ class Model:
 
 
 def train(rows: list[tuple[str, str]], seed: int = 5) -> Model | None:
-    rows = [(words_of(t), y) for t, y in rows if t and y is not None and _LETTER.search(t)]
-    rows = [r for r in rows if r[0]]
+    rows = [(t, y) for t, y in rows if t and y is not None and _LETTER.search(t)]
     languages = sorted({y for _, y in rows})
     if not languages:
         return None
     rng = np.random.default_rng(seed)
     rows = [rows[i] for i in rng.permutation(len(rows))]
-    known: dict[str, list[int]] = {}
+    # The driver holds one text's words at a time, and bags as arrays of two bytes a bucket.
+    known: dict[str, np.ndarray] = {}
     bags = []
-    for words, _ in rows:
+    for text, _ in rows:
+        words = words_of(text)
         pick = words if len(words) <= 400 else [words[i] for i in rng.integers(0, len(words), 400)]
-        bags.append([x for w in pick for x in (known.get(w) or known.setdefault(w, grams(w, GRAMS, BUCKETS)))])
+        for w in pick:
+            if w not in known:
+                known[w] = np.array(grams(w, GRAMS, BUCKETS), np.uint16)
+        bags.append(np.concatenate([known[w] for w in pick]))
     label = np.array([languages.index(y) for _, y in rows])
-    cut = len(rows) // 5
+    del known, rows
+    cut = len(bags) // 5
     table = rng.normal(0, 0.1, (BUCKETS, WIDTH))
     soft, bias = rng.normal(0, 0.5, (WIDTH, len(languages))), np.zeros(len(languages))
-    steps = [np.arange(i, min(i + BATCH, len(rows))) for i in range(cut, len(rows), BATCH)]
+    steps = [np.arange(i, min(i + BATCH, len(bags))) for i in range(cut, len(bags), BATCH)]
     for round_ in range(ROUNDS):
         rate = RATE * (1 - round_ / ROUNDS)
         for i in rng.permutation(len(steps)).tolist():
@@ -79,7 +84,7 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> Model | None:
             bias -= rate * 0.02 * g.sum(0)
     temperature, threshold = 1.0, 0.0
     if cut:
-        z = Bags(bags[:cut]).mean(table) @ soft + bias
+        z = np.concatenate([Bags(bags[i : min(i + BATCH, cut)]).mean(table) for i in range(0, cut, BATCH)]) @ soft + bias
         losses = [(-np.log(softmax(z / t)[np.arange(cut), label[:cut]] + 1e-12).mean() + 0.002 * t, t) for t in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0)]
         temperature = min(losses)[1]
         p = softmax(z / temperature)

@@ -33,9 +33,9 @@ def grams(word: str, lengths: tuple[int, ...] = GRAMS, buckets: int = BUCKETS) -
 class Bags:
     """Bags of buckets laid end to end."""
 
-    def __init__(self, bags: list[list[int]]) -> None:
+    def __init__(self, bags: list) -> None:
         self.counts = np.fromiter(map(len, bags), np.int64, len(bags))
-        self.rows = np.fromiter((x for b in bags for x in b), np.int64, int(self.counts.sum()))
+        self.rows = np.concatenate([np.asarray(b, np.int64) for b in bags]) if bags else np.zeros(0, np.int64)
         self.firsts = np.cumsum(self.counts) - self.counts
 
     def mean(self, table: np.ndarray) -> np.ndarray:
