@@ -42,9 +42,9 @@ def should_scan(path: Column, config_skip: tuple[str, ...] = (), ignored: Column
     return out.otherwise(F.lit(True) if ignored is None else ~ignored)
 
 
-def scannable(files: DataFrame, max_bytes: int = 4 << 20, config_skip: tuple[str, ...] = ()) -> DataFrame:
+def scannable(files: DataFrame, max_bytes: int = 4 << 20, config_skip: tuple[str, ...] = (), ignored: Column | None = None) -> DataFrame:
     """Files that are to be read, small enough, and without a NUL."""
-    return files.where(should_scan(F.col("path"), config_skip) & (F.octet_length("content") <= max_bytes) & ~F.contains("content", F.lit("\0")))
+    return files.where(should_scan(F.col("path"), config_skip, ignored) & (F.octet_length("content") <= max_bytes) & ~F.contains("content", F.lit("\0")))
 
 
 def collect_units(files: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from palisade.operators.coalesce import coalesced
 from palisade.operators.correlate import finalize, ranked, stats
 from palisade.operators.dependencies import dependencies, structural
 from palisade.operators.detect import detect
+from palisade.operators.ignore import ignored_paths
 from palisade.operators.keys import findings_of
 from palisade.operators.units import collect_units, counters, scannable
 from palisade.plans.shared import checkpointed
@@ -42,7 +43,8 @@ def dependency_findings(checks: DataFrame) -> DataFrame:
 
 def scan(files: DataFrame, ruleset: Ruleset = DEFAULT, rls: DataFrame | None = None, baseline: DataFrame | None = None, config_skip: tuple[str, ...] = ()) -> Scan:
     """files(path, content, prov_kind, sha, author, date); rls are findings on access rules, in the form of findings."""
-    kept = scannable(files, ruleset.max_bytes, config_skip)
+    marked = files.join(ignored_paths(files).withColumn("ignored", F.lit(True)), "path", "left")
+    kept = scannable(marked, ruleset.max_bytes, config_skip, F.coalesce("ignored", F.lit(False))).drop("ignored")
     units = collect_units(kept)
     deps = dependencies(files.where("prov_kind = 'working_tree'"))
     found = secret_findings(units, ruleset).unionByName(dependency_findings(structural(deps.where("error IS NULL"))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import zipfile
 from collections.abc import Iterator
 
@@ -14,13 +15,35 @@ from pyspark.sql import functions as F
 MAX_ENTRY = 16 << 20
 
 
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for full, path in zip(batch.column("full").to_pylist(), batch.column("path").to_pylist(), strict=True):
+            with open(full, "rb") as f:
+                yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([f.read()], pa.binary())], ["path", "content"])
+
+
 def working_tree(spark: SparkSession, root: str, max_bytes: int = 4 << 20) -> DataFrame:
-    """path, content, prov_kind, sha, author, date of the files under root that are valid UTF-8; larger ones are not read."""
-    base = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).where(F.col("length") <= max_bytes)
+    """path, content, prov_kind, sha, author, date of the files under root that are valid UTF-8; larger ones are not read.
+
+    Spark's own listing leaves out names that begin with a dot, so the driver lists names and sizes of a folder (one that
+    driver and executors share) and executors read. A root of another scheme is read by Spark, without such names.
+    """
+    base = root.removeprefix("file://").rstrip("/")
+    if "://" in base:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).where(F.col("length") <= max_bytes)
+        at = F.instr("path", f"{base.split('://')[-1]}/") + len(base.split("://")[-1]) + 1
+        files = files.select(F.substr("path", at).alias("path"), "content")
+    else:
+        listed = []
+        for folder, folders, names in os.walk(base):
+            folders[:] = [x for x in folders if x != ".git"]
+            for full in (os.path.join(folder, x) for x in names):
+                if os.path.isfile(full) and not os.path.islink(full) and os.path.getsize(full) <= max_bytes:
+                    listed.append((full, os.path.relpath(full, base).replace(os.sep, "/")))
+        names = spark.createDataFrame(listed, "full string, path string").repartition(spark.sparkContext.defaultParallelism)
+        files = names.mapInArrow(_read, "path string, content binary")
     none = F.lit(None).cast("string")
-    at = F.instr("path", f"{base.split('://')[-1]}/") + len(base.split("://")[-1]) + 1
-    return files.where(F.is_valid_utf8(F.col("content").cast("string"))).select(F.substr("path", at).alias("path"), F.col("content").cast("string").alias("content"), F.lit("working_tree").alias("prov_kind"), none.alias("sha"), none.alias("author"), none.alias("date"))
+    return files.where(F.is_valid_utf8(F.col("content").cast("string"))).select("path", F.col("content").cast("string").alias("content"), F.lit("working_tree").alias("prov_kind"), none.alias("sha"), none.alias("author"), none.alias("date"))
 
 
 def baseline(spark: SparkSession, path: str) -> DataFrame:
