@@ -1,4 +1,4 @@
-"""python -m palisade TARGET: scans a working tree and prints a report. Exit code 0: clean, 1: the gate is met, 2: an error."""
+"""python -m palisade TARGET: scans a working tree and its history, and prints a report. Exit code 0: clean, 1: the gate is met, 2: an error."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ from palisade.plans import config
 from palisade.plans.report import FORMATS, render
 from palisade.plans.scan import scan
 from palisade.sources.files import baseline, working_tree
+from palisade.sources.git import git_folder, history_files
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -26,6 +27,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("--baseline")
     p.add_argument("--severity-gate", choices=tuple(SEVERITIES))
     p.add_argument("--color", action="store_true")
+    p.add_argument("--no-history", action="store_true")
+    p.add_argument("--max-commits", type=int, default=2000)
     given = p.parse_args(args)
     try:
         root = os.path.abspath(given.target)
@@ -43,7 +46,11 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         ruleset = replace(ruleset, max_bytes=settings.max_bytes)
         spark = spark or SparkSession.builder.appName("palisade").getOrCreate()
         known = baseline(spark, os.path.abspath(settings.baseline)) if settings.baseline else None
-        found = scan(working_tree(spark, root, settings.max_bytes), ruleset, baseline=known, config_skip=settings.ignore_paths).findings
+        files = working_tree(spark, root, settings.max_bytes)
+        git = None if given.no_history else git_folder(root)
+        if git:
+            files = files.unionByName(history_files(spark, git, given.max_commits, settings.max_bytes))
+        found = scan(files, ruleset, baseline=known, config_skip=settings.ignore_paths).findings
         sys.stdout.write(render(found, given.format, given.color))
         return gate(found, settings.severity_gate).first()[0] if settings.severity_gate else 0
     except (OSError, ValueError) as e:

@@ -44,3 +44,24 @@ def sightings(rows: DataFrame) -> DataFrame:
     """By path and blob: the number of commits, the first and the last one by time, then id; rows(path, blob_id, sha, commit_time)."""
     at = F.struct("commit_time", "sha")
     return rows.groupBy("path", "blob_id").agg(F.count_distinct("sha").alias("commits"), F.min(at)["sha"].alias("first_sha"), F.max(at)["sha"].alias("last_sha"))
+
+
+def tree_changes(commits: DataFrame, known: DataFrame, entries: DataFrame, checkpoint) -> DataFrame:
+    """What changes() says of commits, from trees that are not flattened: commit, path, blob_id, mode.
+
+    known(id, tree_id) has the parents' trees; entries(tree_id, name, mode, child). Equal subtrees are not entered, so work follows what changed; one round a
+    level of folders.
+    """
+    parent = known.select(F.col("id").alias("parent"), F.col("tree_id").alias("before"))
+    level = commits.withColumn("parent", F.get("parents", F.lit(0))).join(parent, "parent", "left").select(F.col("id").alias("commit"), F.lit("").alias("prefix"), "tree_id", "before")
+    old = entries.select(F.col("tree_id").alias("before"), "name", F.col("mode").alias("old_mode"), F.col("child").alias("old_child"))
+    out = None
+    while True:
+        both = level.join(entries, "tree_id").join(old, ["before", "name"], "left")
+        new = both.where(~(F.col("mode").eqNullSafe(F.col("old_mode")) & F.col("child").eqNullSafe(F.col("old_child"))))
+        step = checkpoint(new.select("commit", F.concat("prefix", "name").alias("path"), "mode", "child", F.when(F.col("old_mode") == "40000", F.col("old_child")).alias("before")))
+        files = step.where("mode <> '40000'").select("commit", "path", F.col("child").alias("blob_id"), "mode")
+        out = files if out is None else out.unionByName(files)
+        level = step.where("mode = '40000'").select("commit", F.concat("path", F.lit("/")).alias("prefix"), F.col("child").alias("tree_id"), "before")
+        if level.isEmpty():
+            return out
