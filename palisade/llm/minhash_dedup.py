@@ -5,15 +5,17 @@
 2. Rows with the same set are one class (found by a digest of the set), represented by its smallest doc_id; from here on
    there are representatives only, so copies never multiply.
 3. Each member of a bucket is linked to its HUBS hubs only (the smallest doc_id, then others by hashes), so a
-   bucket of n members makes fewer than HUBS * n candidate edges; a text has a hub in each of its up to BANDS buckets. Edges whose packed signatures differ too much to reach the
+   bucket of n members makes fewer than HUBS * n candidate edges; a text has a hub in each of its up to BANDS buckets. Edges whose parity sketches differ too much for the
    threshold are left out, the rest is confirmed on the full sets, and gives components.
 4. What the stars leave: members of one bucket that are in different components afterwards are compared with each other under
-   two tests, the same one of signatures and an exact one: a shingle that occurs in one text only is in no intersection, so
+   two tests, the same one of sketches and another exact one: a shingle that occurs in one text only is in no intersection, so
    with u such shingles of n in each text the similarity is at most min(n - u) / (u + u' + max(n - u)). Texts that were edited
    apart fail it at once. A pair is taken in the smallest key that its bands share, so once. Pairs that pass are confirmed on the full sets, so no link is lost to the choice of hubs.
 
-The bands miss a pair at the threshold of 0.8 with probability (1 - 0.8 ** 4) ** 32 = 5e-8; the signature test drops one
-whose similarity all bins together estimate below 0.70, which is 3.8 standard errors (of 0.026) under the threshold.
+A parity sketch has SKETCH bits, each the parity of the number of hashes of the set that fall on it. The sketches of two sets
+differ in at most as many bits as the sets differ in hashes, so a pair at the threshold or above is never left out, whatever
+its sizes: the test is exact. It tells little of sets of more than some 2,300 hashes, whose pairs all are confirmed in full.
+Only the bands can miss a pair, at the threshold of 0.8 with probability (1 - 0.8 ** 4) ** 32 = 5e-8.
 
 Defined cases: texts without words or null have an empty set and are linked with nothing, not even with each other; texts of
 fewer words than a shingle have one shingle, all their words. Rows that share a doc_id are one
@@ -37,9 +39,9 @@ SHINGLE, PERCENT = 4, 80
 #: Bins of a signature; those of them that bands are made of; bins in a band.
 BINS, BANDED, ROWS = 256, 128, 4
 BANDS = BANDED // ROWS
-#: Bits of a bin in the packed signature, and the estimate of the similarity below which a pair is not confirmed.
-BITS, LEAST = 4, 0.70
-WORDS_PACKED = BINS * BITS // 64
+#: Bits of a parity sketch, and its 64-bit words.
+SKETCH = 1024
+WORDS = SKETCH // 64
 HUBS = 1
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -103,31 +105,29 @@ def bands_of(sig: np.ndarray) -> np.ndarray:
     return out
 
 
-def packed(sig: np.ndarray) -> np.ndarray:
-    """BITS bits of each bin, as 64-bit words."""
-    small = _mix(sig) & np.uint64((1 << BITS) - 1)
-    per = 64 // BITS
-    return np.bitwise_or.reduce(small.reshape(-1, per) << (np.arange(per, dtype=np.uint64) * np.uint64(BITS)), axis=1)
+def sketch(found: np.ndarray) -> np.ndarray:
+    """The parity of the number of hashes on each of SKETCH bits, as 64-bit words."""
+    at = (_mix(found ^ _ODD) % np.uint64(SKETCH)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=SKETCH) & 1).astype(np.uint8)).view(np.uint64)
 
 
-_SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>, packed array<long>"
+_SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>"
 
 
 def _sign(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, digests, bands, packs = [], [], [], []
+            n, digests, bands, sketches = [], [], [], []
             for t in texts(batch):
                 s = shingles(t, k)
                 n.append(len(s))
                 if not len(s):
-                    digests.append(None), bands.append(None), packs.append(None)
+                    digests.append(None), bands.append(None), sketches.append(None)
                     continue
-                sig = signature(s)
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
-                bands.append(bands_of(sig).view(np.int64))
-                packs.append(packed(sig).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(packs, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "bands", "packed"])
+                bands.append(bands_of(signature(s)).view(np.int64))
+                sketches.append(sketch(s).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "bands", "sketch"])
 
     return run
 
@@ -172,32 +172,32 @@ def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), rep), pa.int64()), pa.array(part)], ["rep", "hash"])
 
 
-def _alike(x, y):
-    """Whether two packed signatures agree enough: of the bits, all of the bins that agree and half of the others' do."""
+def _alike(x, y, total, percent: int):
+    """Whether two sets of total hashes together can reach the threshold: they differ in no fewer hashes than their sketches in bits."""
     bits = None
-    for i in range(WORDS_PACKED):
+    for i in range(WORDS):
         z = F.bit_count(x[i].bitwiseXOR(y[i]))
         bits = z if bits is None else bits + z
-    return bits <= int((1 - LEAST) / 2 * BINS * BITS)
+    return F.lit(100 + percent) * bits <= F.lit(100 - percent) * total
 
 
 def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, band values, packed signature; for rows of docs(doc_id, text) that have an id."""
+    """doc_id, n_shingles, digest of the set, band values, parity sketch; for rows of docs(doc_id, text) that have an id."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInArrow(_sign(k), _SIGNED)
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text) that has an id."""
     signed = checkpointed(signatures(docs, k))
-    classes = checkpointed(signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("packed").alias("packed")))
+    classes = checkpointed(signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")))
     keys = classes.select("rep", F.explode("bands").alias("key"))
     hubs = F.array_distinct(F.array(F.min("rep"), *(F.min_by("rep", F.xxhash64("rep", F.lit(i))) for i in range(1, HUBS))))
     buckets = keys.groupBy("key").agg(F.count("*").alias("size"), hubs.alias("hubs")).where("size > 1")
     members = checkpointed(keys.join(buckets, "key"))
 
     def signed_pairs(pairs: DataFrame) -> DataFrame:
-        a, b = classes.select(F.col("rep").alias("a"), F.col("packed").alias("pa")), classes.select(F.col("rep").alias("b"), F.col("packed").alias("pb"))
-        return pairs.join(a, "a").join(b, "b").where(_alike(F.col("pa"), F.col("pb"))).select("a", "b")
+        a, b = (classes.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+        return pairs.join(a, "a").join(b, "b").where(_alike(F.col("sa"), F.col("sb"), F.col("na") + F.col("nb"), percent)).select("a", "b")
 
     star = members.select("rep", F.explode("hubs").alias("hub")).where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     edges = checkpointed(signed_pairs(star))
@@ -219,12 +219,12 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     if not apart.isEmpty():
         owned = hashes.join(apart.select("rep").distinct(), "rep", "left_semi").mapInArrow(_single, "rep long, hash long")
         alone = owned.groupBy("hash").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).where("c = 1").groupBy("rep").agg(F.count("*").alias("u"))
-        facts = classes.select("rep", "n", "packed", "bands").join(apart.select("rep").distinct(), "rep", "left_semi").join(alone, "rep", "left").select("rep", "packed", "bands", F.coalesce("u", F.lit(0)).alias("u"), (F.col("n") - F.coalesce("u", F.lit(0))).alias("rest"))
+        facts = classes.select("rep", "n", "sketch", "bands").join(apart.select("rep").distinct(), "rep", "left_semi").join(alone, "rep", "left").select("rep", "n", "sketch", "bands", F.coalesce("u", F.lit(0)).alias("u"), (F.col("n") - F.coalesce("u", F.lit(0))).alias("rest"))
         sides = checkpointed(apart.join(facts, "rep"))
         m, o = sides.alias("m"), sides.alias("o")
         possible = F.lit(100) * F.least("m.rest", "o.rest") >= F.lit(percent) * (F.col("m.u") + F.col("o.u") + F.greatest("m.rest", "o.rest"))
         first = F.array_min(F.array_intersect("m.bands", "o.bands")) == F.col("m.key")
-        pairs = m.join(o, (F.col("m.key") == F.col("o.key")) & (F.col("m.rep") < F.col("o.rep")) & (F.col("m.label") != F.col("o.label")) & possible & _alike(F.col("m.packed"), F.col("o.packed")) & first)
+        pairs = m.join(o, (F.col("m.key") == F.col("o.key")) & (F.col("m.rep") < F.col("o.rep")) & (F.col("m.label") != F.col("o.label")) & possible & _alike(F.col("m.sketch"), F.col("o.sketch"), F.col("m.n") + F.col("o.n"), percent) & first)
         found = confirmed(pairs.select(F.col("m.rep").alias("a"), F.col("o.rep").alias("b")).distinct())
         if not found.isEmpty():
             labels = connected(links.unionByName(found))

@@ -172,6 +172,20 @@ def test_groups_of_near_copies_equal_brute_force(spark):
     assert got == {i: root(i) for i in parent}
 
 
+def test_no_pair_at_the_threshold_is_lost(spark):
+    """Pairs with 4 of 5, 8 of 10 and 40 of 50 shingles, in bulk, against the sets themselves."""
+    rows = []
+    for k, n in enumerate((5, 10, 50)):
+        for p in range(1500):
+            words = [f"w{k}x{p}x{i}" for i in range(n + 3)]
+            rows += [(2 * (1500 * k + p), " ".join(words)), (2 * (1500 * k + p) + 1, " ".join(words[: 3 + n * 4 // 5]))]
+    for a, b in zip(rows[::2], rows[1::2], strict=True):
+        x, y = (set(minhash_dedup.shingles(t.encode()).tolist()) for _, t in (a, b))
+        assert 100 * len(x & y) == 80 * len(x | y)
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs(spark, rows, "doc_id long, text string")).collect()}
+    assert [i for i, _ in rows if got[i] != i - i % 2] == []
+
+
 def test_long_chains_are_one_component(spark):
     links = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.createDataFrame([(900, 901)], "a long, b long"))
     assert {(r.component, r.n) for r in connected(links).groupBy("component").agg(F.count("*").alias("n")).collect()} == {(0, 301), (900, 2)}
