@@ -5,7 +5,7 @@ name, class, id and role and by the nearest enclosing section, and the words of
 each page of a group have the same occurrence vector and form an equivalence class. A class is valid if its tokens
 come once on each page that has them, on most pages, and in the same order everywhere. Valid classes nest: the one that
 spans the page is the template of the page, and its tokens cut it into slots; those of other classes lie inside its slots.
-A slot of the template holds main text unless its place says otherwise (menus, headers, footers, sidebars, notices,
+A slot of the template, whatever its size, holds main text unless its place says otherwise (menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles, comments of readers, by the names of the enclosing sections). If sections that a page
 itself marks as its article exist, only slots inside them count. Text that is itself a template token (a sentence that comes
 in the same place on most pages of the group) is left out, unless that would leave a page with no text at all.
@@ -165,24 +165,13 @@ def template(pages: list[Page]) -> tuple[set[str], set[str]]:
 def extract(sources: list[str | None]) -> list[str]:
     """The main texts of pages of one host."""
     pages = [Page(s) for s in sources]
-    tags, said = template(pages)
+    said = template(pages)[1]
     out = []
     for p in pages:
-        slot, slots = 0, {-1: 0}
-        for i, k in enumerate(p.tokens):
-            slot += k in tags
-            slots[i] = slot
         marked = any(article and not chrome for _, _, article, chrome, _ in p.blocks)
-        main = [(slots[at], text, key) for text, at, article, chrome, key in p.blocks if not chrome and (article or not marked)]
-        fresh = [(s, text) for s, text, key in main if key not in said]
-        chosen = fresh or [(s, text) for s, text, _ in main]
-        if chosen and not marked:  # no marked article: the slots around the largest one, as far as they hold running text
-            size = Counter()
-            for s, text in chosen:
-                size[s] += len(text)
-            top = max(size.values())
-            chosen = [(s, text) for s, text in chosen if 10 * size[s] >= top]
-        out.append("\n\n".join(text for _, text in chosen))
+        main = [(text, key) for text, _, article, chrome, key in p.blocks if not chrome and (article or not marked)]
+        chosen = [text for text, key in main if key not in said] or [text for text, _ in main]
+        out.append("\n\n".join(chosen))
     return out
 
 

@@ -76,6 +76,12 @@ def test_template_text_is_left_out():
     assert html_extract.extract(pages) == [f"Story {i} begins here and goes on for long\n\nMore of {i}" for i in range(8)]
 
 
+def test_short_slots_stay():
+    long = "A paragraph that goes on. " * 40
+    page = f"<body><h1>Title</h1><p>{long}</p><h2>Part</h2><p>{long}</p><blockquote>Quote</blockquote><p>{long}</p><p>End</p><footer>no</footer>"
+    assert html_extract.extract([page])[0].split("\n\n") == ["Title", long.strip(), "Part", long.strip(), "Quote", long.strip(), "End"]
+
+
 def _brute_substrings(rows, k):
     first = {}
     for i, t in sorted(rows):
