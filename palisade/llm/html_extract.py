@@ -1,14 +1,16 @@
 """HTML extraction: templates are deduced from equivalence classes of tokens, and the slots left between them extracted.
 
 Pages of one host are handled in groups of at most GROUP pages. A page becomes a sequence of tokens: its tags, told apart by
-name, class, id and role and by the nearest enclosing section, and the words of its text. Tokens that occur equally often on
+name, class, id and role and by the nearest enclosing section, and the blocks of its text. Tokens that occur equally often on
 each page of a group have the same occurrence vector and form an equivalence class. A class is valid if its tokens
 come once on each page that has them, on most pages, and in the same order everywhere. Valid classes nest: the one that
 spans the page is the template of the page, and its tokens cut it into slots; those of other classes lie inside its slots.
 A slot of the template, whatever its size, holds main text unless its place says otherwise (menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles, comments of readers, by the names of the enclosing sections). If sections that a page
-itself marks as its article exist, only slots inside them count. Text that is itself a template token (a sentence that comes
-in the same place on most pages of the group) is left out, unless that would leave a page with no text at all.
+itself marks as its article exist, these marks decide: all text inside them counts, also text that other pages repeat, and
+none outside. On other pages text that is itself a template token is left out: a block that is in a valid class with tags (the
+page as a whole is one of them), in the same slot of that class on each page, unless that would leave a page with no text at
+all. Pages that are equal or have the same url count as one page in all this, so copies and revisions make no template.
 
 Skew: rows are range-partitioned by host and a hash of the url, so a host with a third of all pages is spread over many
 tasks, each of which reads its rows in order and closes a group at GROUP pages or GROUP_BYTES.
@@ -47,13 +49,15 @@ CHROME_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert(?:s|isement|ising|orial)?
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
+#: The page as a whole, a tag that begins each page.
+ROOT = "page"
 
 
 class Page:
-    """tokens: keys in page order. blocks: (text, index of the token before it, in an article, in chrome, key as a token)."""
+    """tokens: keys of tags in page order. blocks: (text, index of the tag before it, in an article, in chrome, key as a token)."""
 
     def __init__(self, source: str | None) -> None:
-        self.tokens: list[str] = []
+        self.tokens: list[str] = [ROOT]
         self.blocks: list[tuple[str, int, bool, bool, str]] = []
         self._read(source or "")
 
@@ -68,7 +72,7 @@ class Page:
                 text.clear()
                 if joined:
                     _, article, chrome, section = stack[-1] if stack else ("", False, False, "")
-                    self.blocks.append((joined, len(self.tokens) - 1, article, chrome, f"{section} {joined}"))
+                    self.blocks.append((joined, len(self.tokens) - 1, article, chrome, f"={section} {joined}"))
 
         while at < n:
             m = _TOKEN.search(s, at)
@@ -128,7 +132,8 @@ def template(pages: list[Page]) -> tuple[set[str], set[str]]:
 
     A token's occurrence vector is its count on each page; the valid classes are those of vectors of ones and zeros with
     enough support whose tokens keep their order on all pages. The class with the most support comes first; each next one
-    is kept if it nests, that is, if its tokens lie in one slot of what was kept, on each page.
+    is kept if it nests, that is, if its tokens lie in one slot of what was kept, on each page. A text token belongs to the kept
+    class of its vector if it follows the same tag of that class on all its pages.
     """
     counts = [Counter(p.tokens) for p in pages]
     vectors: dict[str, tuple[int, ...]] = {}
@@ -140,6 +145,7 @@ def template(pages: list[Page]) -> tuple[set[str], set[str]]:
     for key, v in vectors.items():
         classes.setdefault(v, []).append(key)
     kept: set[str] = set()
+    valid: dict[tuple[int, ...], set[str]] = {}
     for v, keys in sorted(classes.items(), key=lambda x: (-sum(x[0]), x[0])):
         own = set(keys)
         orders = {tuple(k for k in p.tokens if k in own) for p, on in zip(pages, v, strict=True) if on}
@@ -157,20 +163,51 @@ def template(pages: list[Page]) -> tuple[set[str], set[str]]:
                 slots.add(len(inside))
         if not slots or max(slots) <= 1 or len(keys) == 1:
             kept |= own
-    said = Counter(k for p in pages for k in {b[4] for b in p.blocks})
-    least = max(LEAST_PAGES, SUPPORT * len(pages))
-    return kept, {k for k, c in said.items() if c >= least}
+            valid[v] = own
+    said = [Counter(b[4] for b in p.blocks) for p in pages]
+    texts = set()
+    by_class: dict[tuple[int, ...], set[str]] = {}
+    for key in set().union(*said):
+        v = tuple(c[key] for c in said)
+        if max(v) == 1 and sum(v) >= max(LEAST_PAGES, SUPPORT * len(pages)) and v in valid:
+            by_class.setdefault(v, set()).add(key)
+    for v, keys in by_class.items():
+        after: dict[str, set[str]] = {k: set() for k in keys}
+        for p, on in zip(pages, v, strict=True):
+            if on:
+                last, seen = None, 0
+                for _, at, _, _, key in p.blocks:
+                    for k in p.tokens[seen : at + 1]:
+                        if k in valid[v]:
+                            last = k
+                    seen = at + 1
+                    if key in after:
+                        after[key].add(last)
+        texts |= {k for k, tags in after.items() if len(tags) == 1}
+    return kept, texts
+
+
+def _distinct(sources: list[str | None], urls: list[str | None]) -> list[int]:
+    """The first of the pages that are equal or have one url."""
+    out, seen = [], set()
+    for i, (s, u) in enumerate(zip(sources, urls, strict=True)):
+        if ("html", s) not in seen and ("url", u) not in seen:
+            out.append(i)
+        seen.add(("html", s))
+        if u is not None:
+            seen.add(("url", u))
+    return out
 
 
-def extract(sources: list[str | None]) -> list[str]:
+def extract(sources: list[str | None], urls: list[str | None] | None = None) -> list[str]:
     """The main texts of pages of one host."""
     pages = [Page(s) for s in sources]
-    said = template(pages)[1]
+    said = template([pages[i] for i in _distinct(sources, urls or [None] * len(sources))])[1]
     out = []
     for p in pages:
         marked = any(article and not chrome for _, _, article, chrome, _ in p.blocks)
         main = [(text, key) for text, _, article, chrome, key in p.blocks if not chrome and (article or not marked)]
-        chosen = [text for text, key in main if key not in said] or [text for text, _ in main]
+        chosen = [text for text, key in main if marked or key not in said] or [text for text, _ in main]
         out.append("\n\n".join(chosen))
     return out
 
@@ -180,7 +217,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     host, size = None, 0
 
     def emit() -> pa.RecordBatch:
-        found = extract([r[2] for r in rows])
+        found = extract([r[2] for r in rows], [r[1] for r in rows])
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     for batch in batches:

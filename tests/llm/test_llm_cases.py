@@ -82,6 +82,20 @@ def test_short_slots_stay():
     assert html_extract.extract([page])[0].split("\n\n") == ["Title", long.strip(), "Part", long.strip(), "Quote", long.strip(), "End"]
 
 
+def test_repeated_text_stays_unless_it_is_template():
+    same = "<p>One passage that all share</p><p>And a second one</p>"
+    kept = "One passage that all share\n\nAnd a second one\n\nOwn {}"
+    for n in (3, 4, 64):  # in a marked article
+        assert html_extract.extract([f"<body><article>{same}<p>Own {i}</p></article>" for i in range(n)]) == [kept.format(i) for i in range(n)]
+    # revisions of one url among other pages, without a marked article
+    pages = [f"<body><div>{same}<p>Own {i}</p></div>" for i in range(40)] + [f"<body><div><p>Other {i}</p></div>" for i in range(24)]
+    urls = ["http://a/1"] * 40 + [f"http://a/x{i}" for i in range(24)]
+    assert html_extract.extract(pages, urls) == [kept.format(i) for i in range(40)] + [f"Other {i}" for i in range(24)]
+    # a passage that more than half of the articles share, with no tags of its own
+    pages = [f"<body><div>Site</div><div>{same if i < 30 else ''}<p>Own {i}</p></div>" for i in range(40)]
+    assert html_extract.extract(pages) == [kept.format(i) if i < 30 else f"Own {i}" for i in range(40)]
+
+
 def _brute_substrings(rows, k):
     first = {}
     for i, t in sorted(rows):
