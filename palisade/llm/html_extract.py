@@ -1,6 +1,6 @@
 """HTML extraction: templates are deduced from equivalence classes of tokens, and the slots left between them extracted.
 
-Pages of one host are handled in groups of at most GROUP pages. A page becomes a sequence of tokens: its tags, told apart by
+Pages of one host are handled in groups of about GROUP pages. A page becomes a sequence of tokens: its tags, told apart by
 name, class, id and role and by the nearest enclosing section, and the blocks of its text. Tokens that occur equally often on
 each page of a group have the same occurrence vector and form an equivalence class. A class is valid if its tokens
 come once on each page that has them, on most pages, and in the same order everywhere. Valid classes nest: the one that
@@ -12,8 +12,9 @@ none outside. On other pages text that is itself a template token is left out: a
 page as a whole is one of them), in the same slot of that class on each page, unless that would leave a page with no text at
 all. Pages that are equal or have the same url count as one page in all this, so copies and revisions make no template.
 
-Skew: rows are range-partitioned by host and a hash of the url, so a host with a third of all pages is spread over many
-tasks, each of which reads its rows in order and closes a group at GROUP pages or GROUP_BYTES.
+Skew: the pages and bytes of a host give its number of groups, and a hash of url and page_id the group of a page, so groups
+of a large host are about equal, do not depend on the partitions of Spark, and are spread over many tasks. Hosts of more than
+one group are broadcast: at most one row for GROUP pages. Pages of a group that are equal, url and all, are held and read once.
 
 Defined cases: null or empty html, or html without text, gives an empty text; a page alone in its group is its own template
 of tags; unclosed and stray tags, and pages cut off anywhere, are read as far as they go. A null url is a host of its own.
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 from palisade.llm.common import load
 
 GROUP, GROUP_BYTES = 64, 8 << 20
+#: A host is not cut into groups of fewer pages than this on average, however large its pages are.
+GROUP_LEAST = 32
 #: Pages of a group on which a template token occurs at least, as a share and as a number; fewest pages for text to count as template.
 SUPPORT, LEAST_PAGES = 0.5, 4
 
@@ -214,28 +217,41 @@ def extract(sources: list[str | None], urls: list[str | None] | None = None) ->
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
-    host, size = None, 0
+    sources: dict[tuple, int] = {}
+    now = None
 
-    def emit() -> pa.RecordBatch:
-        found = extract([r[2] for r in rows], [r[1] for r in rows])
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], ["page_id", "url", "text", "n_chars"])
+    def emit() -> Iterator[pa.RecordBatch]:
+        found = extract([s for s, _ in sources], [u for _, u in sources])
+        for k in range(0, len(rows), GROUP):
+            part = rows[k : k + GROUP]
+            told = [found[r[2]] for r in part]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.string()), pa.array(told, pa.string()), pa.array([len(t) for t in told], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     for batch in batches:
-        for h, i, u, s in zip(*(batch.column(c).to_pylist() for c in ("host", "page_id", "url", "html")), strict=True):
-            if rows and (h != host or len(rows) >= GROUP or size >= GROUP_BYTES):
-                yield emit()
-                rows, size = [], 0
-            rows.append((i, u, s))
-            host, size = h, size + len(s or "")
+        for h, g, i, u, s in zip(*(batch.column(c).to_pylist() for c in ("host", "group", "page_id", "url", "html")), strict=True):
+            if rows and (h, g) != now:
+                yield from emit()
+                rows, sources = [], {}
+            now = h, g
+            rows.append((i, u, sources.setdefault((s, u), len(sources))))
     if rows:
-        yield emit()
+        yield from emit()
+
+
+def grouped(pages: DataFrame) -> DataFrame:
+    """host, group, page_id, url, html, mark (a hash of html) for each row of pages(page_id, url, html)."""
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    rows = pages.select(host.alias("host"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    sizes = rows.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")).alias("size"))
+    by_size = F.least(F.ceil(F.col("size") / GROUP_BYTES), F.floor(F.col("n") / GROUP_LEAST))
+    many = sizes.select("host", F.greatest(F.ceil(F.col("n") / GROUP), by_size).alias("groups")).where("groups > 1")
+    at = F.pmod(F.xxhash64("url", "page_id"), F.coalesce("groups", F.lit(1)))
+    return rows.join(F.broadcast(many), "host", "left").select("host", at.alias("group"), "page_id", "url", "html", F.xxhash64("html").alias("mark"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages(page_id, url, html)."""
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    rows = pages.select(host.alias("host"), F.xxhash64("url").alias("spread"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    return rows.repartitionByRange("host", "spread", "page_id").sortWithinPartitions("host", "spread", "page_id").drop("spread").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return grouped(pages).repartitionByRange("host", "group").sortWithinPartitions("host", "group", "page_id", "url", "mark").drop("mark").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

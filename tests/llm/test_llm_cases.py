@@ -96,6 +96,20 @@ def test_repeated_text_stays_unless_it_is_template():
     assert html_extract.extract(pages) == [kept.format(i) if i < 30 else f"Own {i}" for i in range(40)]
 
 
+def test_groups_do_not_depend_on_partitions(spark):
+    n = 129
+    rows = [(i, f"http://a/{i}", f"<body><div>Top of site</div><div><p>Own {i}</p></div><div>About us</div>") for i in range(n)]
+    pages = docs(spark, rows, "page_id long, url string, html string")
+    sizes = [r.n for r in html_extract.grouped(pages).groupBy("host", "group").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == n and len(sizes) == 3 and min(sizes) > 20
+    for parts in (1, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            assert {r.page_id: r.text for r in html_extract.extract_pages(pages).collect()} == {i: f"Own {i}" for i in range(n)}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
 def _brute_substrings(rows, k):
     first = {}
     for i, t in sorted(rows):
