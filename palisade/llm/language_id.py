@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.common import carried, extended, fold, load, passed, training_sample
-from palisade.llm.subword import BUCKETS, GRAMS, WIDTH, Bags, grams, softmax, words_of
+from palisade.llm.subword import BUCKETS, GRAMS, PART, WIDTH, Bags, grams, softmax, words_of
 
 PER_CLASS, MAX_LANGUAGES, FOLDS, HELD_OUT = 500, 200, 4, 2
 ROUNDS, BATCH, RATE, CACHE = 6, 32, 8.0, 400_000
@@ -107,8 +107,12 @@ class Teller:
     def tell(self, text: str | None) -> tuple[str, float, bool]:
         if not text or self.model is None or not _LETTER.search(text):
             return "und", 0.0, True
-        at = []
+        at, apart = [], np.zeros(len(self.model.languages) + 1)
         for w in words_of(text):
+            if w[0] == PART:  # parts of long runs hardly come again
+                total, n = self.model.word(w)
+                apart += np.append(total, n)
+                continue
             k = self.known.get(w)
             if k is None:
                 k = self.known[w] = len(self.known)
@@ -117,7 +121,8 @@ class Teller:
                 total, n = self.model.word(w)
                 self.sums[k, :-1], self.sums[k, -1] = total, n
             at.append(k)
-        total = self.sums[at].sum(0) if at else np.append(np.zeros(len(self.model.languages)), 1.0)
+        total = self.sums[at].sum(0) + apart
+        total[-1] = total[-1] or 1.0
         if len(self.known) > CACHE:
             self.clear()
         z = (total[:-1] / total[-1] + self.model.bias) / self.model.temperature

@@ -13,19 +13,34 @@ import numpy as np
 
 #: Hash buckets, embedding width, lengths of the character n-grams.
 BUCKETS, WIDTH, GRAMS = 1 << 16, 8, (2, 3, 4)
+#: Characters of the longest run that is one word and of a part of longer ones; the mark of parts, which no word holds.
+LONG, PART = 40, "_"
 
 _WORDS = re.compile(r"[^\W_]+")
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters and digits, in lower case."""
-    return _WORDS.findall(text.lower())
+    """Runs of letters and digits, in lower case; one of more than LONG characters as its parts."""
+    found = _WORDS.findall(text.lower())
+    return [p for w in found for p in parts(w)] if any(len(w) > LONG for w in found) else found
+
+
+def parts(word: str) -> list[str]:
+    """A word of at most LONG characters as it is; parts of a longer run (text without spaces), each after the mark PART.
+
+    Parts of "<run>" have LONG characters and begin LONG / 2 apart. So each n-gram of the run is in a part, most are in two, and
+    whatever has at most LONG / 2 characters is whole in one.
+    """
+    if len(word) <= LONG:
+        return [word]
+    w = f"<{word}>"
+    return [PART + w[i : i + LONG] for i in range(0, len(w) - LONG // 2, LONG // 2)]
 
 
 def grams(word: str, lengths: tuple[int, ...] = GRAMS, buckets: int = BUCKETS) -> list[int]:
-    """The buckets of a word: it as a whole, then its n-grams, of the first and last 20 characters if it is longer than 40."""
-    w = f"<{word}>" if len(word) <= 40 else f"<{word[:20]}_{word[-20:]}>"
-    found = [zlib.crc32(w.encode("utf-8", "surrogatepass"))]
+    """The buckets of a word: it as a whole, then its n-grams; of a part of a run, its n-grams."""
+    w = word[1:] if word[:1] == PART else f"<{word}>"
+    found = [] if word[:1] == PART else [zlib.crc32(w.encode("utf-8", "surrogatepass"))]
     found += [zlib.crc32(w[i : i + k].encode("utf-8", "surrogatepass"), k) for k in lengths for i in range(len(w) - k + 1)]
     return [x % buckets for x in found]
 

@@ -3,7 +3,7 @@
 A word is the average of its subword embeddings, put through a two-class linear softmax; the log-odds of a document is the
 soft maximum (log of the sum of exponentials) over its distinct words, so one insult counts in a text of any length. The
 embeddings and the softmax are trained together, through the soft maximum, from document labels alone; a misspelt word
-shares most n-gram vectors with the word that it comes from. A logistic curve fitted on labelled documents that were kept
+shares most n-gram vectors with the word that it comes from, and a run of over 40 characters counts as its overlapping parts. A logistic curve fitted on labelled documents that were kept
 out of training turns log-odds into a score.
 
 Size: training takes at most PER_CLASS labelled rows of each label (a documented bound; rows are picked by a hash of
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.common import fold, load, training_sample
-from palisade.llm.subword import Adam, Bags, grams, words_of
+from palisade.llm.subword import PART, Adam, Bags, grams, words_of
 
 #: Labelled rows of each label at most; held-out fold.
 PER_CLASS, FOLDS, HELD_OUT = 2500, 5, 0
@@ -113,7 +113,9 @@ def document(model: Model, words: list[str], cache: dict | None = None) -> float
     for w in words:
         v = cache.get(w)
         if v is None:
-            v = cache[w] = model.word(w)
+            v = model.word(w)
+            if w[0] != PART:  # parts of long runs hardly come again
+                cache[w] = v
         values.append(v)
     if not values:
         return model.floor

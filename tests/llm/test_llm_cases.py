@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palisade.llm import decontaminate, html_extract, language_id, minhash_dedup, mixing, quality_classifier, quality_rules, sharding, substring_dedup, toxicity
+from palisade.llm import decontaminate, html_extract, language_id, minhash_dedup, mixing, quality_classifier, quality_rules, sharding, substring_dedup, subword, toxicity
 from palisade.llm.components import connected
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -110,6 +110,21 @@ def test_groups_do_not_depend_on_partitions(spark):
             spark.conf.set("spark.sql.shuffle.partitions", 4)
 
 
+def test_long_runs_are_read_whole():
+    run = "".join(f"{chr(0x4E00 + i)}" for i in range(5000))
+    for lengths in ((2, 3, 4), (3, 4, 5)):
+        got = {g for w in subword.words_of(f"a {run}, b") for g in subword.grams(w, lengths)}
+        w = f"<{run}>"
+        assert got >= {subword.zlib.crc32(w[i : i + k].encode(), k) % subword.BUCKETS for k in lengths for i in range(len(w) - k + 1)}
+    assert all(len(w) <= subword.LONG + 1 for n in range(1, 130) for w in subword.words_of("x" * n))
+    told = language_id.train([(f"{a * 10}", y) for a, y in (("abcd ", "x"), ("efgh ", "y")) for _ in range(40)])
+    ends = "abcd" * 6
+    assert language_id.Teller(told).tell(ends + "efgh" * 200 + ends)[0] == "y"
+    model = toxicity.train([("fine words here", 0), ("fine stupidfool here", 1)] * 40)
+    mild = "finewordshere" * 40
+    assert toxicity.document(model, subword.words_of(mild + "stupidfool" + mild)) > toxicity.document(model, subword.words_of(mild + mild)) + 0.5
+
+
 def _brute_substrings(rows, k):
     first = {}
     for i, t in sorted(rows):
