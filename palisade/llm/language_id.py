@@ -5,7 +5,8 @@ training. Texts kept out of training fit a temperature, and give the threshold o
 REJECT of those that were told right reach, at most CEILING.
 
 Size: training takes at most PER_CLASS documents of each of at most MAX_LANGUAGES languages (documented bounds; documents
-are picked by a hash of doc_id, languages by count); scoring is one pass over all rows without a shuffle, over whole texts.
+are picked by a hash of doc_id, languages by count), and of a text of more than PER_TEXT words so many, drawn with replacement;
+the texts that fit temperature and threshold are read whole, as those that are scored. Scoring is one pass over all rows without a shuffle, over whole texts.
 
 Defined cases: a null text, or one without a letter, is "und" with score 0 and rejected, and so is every text if nothing
 could be learned; a text with letters always gets a learned language. Rows are returned one for one; other columns are not
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from palisade.llm.common import carried, extended, fold, load, passed, training_sample
 from palisade.llm.subword import BUCKETS, GRAMS, PART, WIDTH, Bags, grams, softmax, words_of
 
-PER_CLASS, MAX_LANGUAGES, FOLDS, HELD_OUT = 500, 200, 4, 2
+PER_CLASS, PER_TEXT, MAX_LANGUAGES, FOLDS, HELD_OUT = 500, 400, 200, 4, 2
 ROUNDS, BATCH, RATE, CACHE = 6, 32, 8.0, 400_000
 #: Share of rightly told texts that the threshold may reject, and its highest value.
 REJECT, CEILING = 0.001, 0.5
@@ -54,19 +55,21 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> Model | None:
     # The driver holds one text's words at a time, and bags as arrays of two bytes a bucket.
     known: dict[str, np.ndarray] = {}
     bags = []
-    for text, _ in rows:
+    cut = len(rows) // 5
+    for text, _ in rows[cut:]:
         words = words_of(text)
-        pick = words if len(words) <= 400 else [words[i] for i in rng.integers(0, len(words), 400)]
+        pick = words if len(words) <= PER_TEXT else [words[i] for i in rng.integers(0, len(words), PER_TEXT)]
         for w in pick:
             if w not in known:
                 known[w] = np.array(grams(w, GRAMS, BUCKETS), np.uint16)
         bags.append(np.concatenate([known[w] for w in pick]))
-    label = np.array([languages.index(y) for _, y in rows])
+    number = {y: i for i, y in enumerate(languages)}
+    label = np.array([number[y] for _, y in rows])
+    kept = [t for t, _ in rows[:cut]]
     del known, rows
-    cut = len(bags) // 5
     table = rng.normal(0, 0.1, (BUCKETS, WIDTH))
     soft, bias = rng.normal(0, 0.5, (WIDTH, len(languages))), np.zeros(len(languages))
-    steps = [np.arange(i, min(i + BATCH, len(bags))) for i in range(cut, len(bags), BATCH)]
+    steps = [np.arange(i, min(i + BATCH, len(bags))) for i in range(0, len(bags), BATCH)]
     for round_ in range(ROUNDS):
         rate = RATE * (1 - round_ / ROUNDS)
         for i in rng.permutation(len(steps)).tolist():
@@ -74,7 +77,7 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> Model | None:
             bag = Bags([bags[j] for j in at.tolist()])
             mean = bag.mean(table)
             g = softmax(mean @ soft + bias)
-            g[np.arange(len(at)), label[at]] -= 1
+            g[np.arange(len(at)), label[cut + at]] -= 1
             g /= len(at)
             back = g @ soft.T
             each = np.repeat(back / bag.counts[:, None], bag.counts, axis=0)
@@ -84,7 +87,8 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> Model | None:
             bias -= rate * 0.02 * g.sum(0)
     temperature, threshold = 1.0, 0.0
     if cut:
-        z = np.concatenate([Bags(bags[i : min(i + BATCH, cut)]).mean(table) for i in range(0, cut, BATCH)]) @ soft + bias
+        teller = Teller(Model(languages, table @ soft, bias, temperature, threshold))
+        z = np.stack([teller.logits(t) for t in kept])
         losses = [(-np.log(softmax(z / t)[np.arange(cut), label[:cut]] + 1e-12).mean() + 0.002 * t, t) for t in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0)]
         temperature = min(losses)[1]
         p = softmax(z / temperature)
@@ -104,9 +108,8 @@ class Teller:
         self.known: dict[str, int] = {}
         self.sums = np.zeros((1024, len(self.model.languages) + 1 if self.model else 1))
 
-    def tell(self, text: str | None) -> tuple[str, float, bool]:
-        if not text or self.model is None or not _LETTER.search(text):
-            return "und", 0.0, True
+    def logits(self, text: str) -> np.ndarray:
+        """The scores of the languages for a whole text, before the temperature."""
         at, apart = [], np.zeros(len(self.model.languages) + 1)
         for w in words_of(text):
             if w[0] == PART:  # parts of long runs hardly come again
@@ -125,7 +128,12 @@ class Teller:
         total[-1] = total[-1] or 1.0
         if len(self.known) > CACHE:
             self.clear()
-        z = (total[:-1] / total[-1] + self.model.bias) / self.model.temperature
+        return total[:-1] / total[-1] + self.model.bias
+
+    def tell(self, text: str | None) -> tuple[str, float, bool]:
+        if not text or self.model is None or not _LETTER.search(text):
+            return "und", 0.0, True
+        z = self.logits(text) / self.model.temperature
         p = np.exp(z - z.max())
         p /= p.sum()
         best = int(p.argmax())

@@ -125,6 +125,14 @@ def test_long_runs_are_read_whole():
     assert toxicity.document(model, subword.words_of(mild + "stupidfool" + mild)) > toxicity.document(model, subword.words_of(mild + mild)) + 0.5
 
 
+def test_kept_out_texts_are_told_whole(monkeypatch):
+    read = []
+    words_of = language_id.words_of
+    monkeypatch.setattr(language_id.Teller, "logits", lambda self, text, f=language_id.Teller.logits: read.append(len(words_of(text))) or f(self, text))
+    assert language_id.train([(f"{a} " * 1000, y) for a, y in (("abcd", "x"), ("efgh", "y")) for _ in range(20)]) and language_id.PER_TEXT == 400
+    assert read == [1000] * 8
+
+
 def _brute_substrings(rows, k):
     first = {}
     for i, t in sorted(rows):
