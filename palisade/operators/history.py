@@ -20,6 +20,8 @@ def reachable(commits: DataFrame, tips: DataFrame, checkpoint=None, most_rounds:
         if frontier.isEmpty():
             break
         seen = cut(seen.unionByName(frontier))
+    else:
+        raise RuntimeError(f"reachable commits did not end in {most_rounds} generations")
     return commits.join(seen, "id", "left_semi")
 
 

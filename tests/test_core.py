@@ -11,6 +11,7 @@ from palisade.functions.text import entropy, lines, redact
 from palisade.operators.coalesce import coalesced
 from palisade.operators.dependencies import dependencies, structural
 from palisade.operators.detect import detect
+from palisade.operators.history import reachable
 from palisade.operators.keys import findings_of
 from palisade.operators.units import collect_units, scannable, should_scan
 from palisade.plans.report import FORMATS, render
@@ -110,3 +111,12 @@ def test_custom_rules(spark):
     for bad in ("[[rules]]\nid = 'stripe-secret-key'\nregex = 'x'\n", "[[rules]]\nid = 'b'\nregex = '(?=x)'\n", "[[rules]]\nid = 'b'\nregex = '('\n", "["):
         with pytest.raises(rules.RuleError):
             rules.load(bad)
+
+
+def test_unfinished_reachability_is_an_error(spark):
+    commits = spark.createDataFrame([("a", ["b"]), ("b", ["c"]), ("c", [])], "id string, parents array<string>")
+    tips = spark.createDataFrame([("a",)], "id string")
+    cut = lambda df: df.localCheckpoint()
+    assert reachable(commits, tips, cut, 3).count() == 3
+    with pytest.raises(RuntimeError):
+        reachable(commits, tips, cut, 1)
