@@ -2,9 +2,10 @@
 
 The words of many documents at a time become one array of suffix ranks by prefix doubling (ranks start from document and
 word, so suffixes of different documents never mix, and after each round only suffixes that are still equal to another
-one are ranked further). Neighbours in that order share the longest common prefixes; an interval of it is a maximal
-repeated substring. The spans of those of at least MIN_REPEAT words are united; the covered fraction of the words and the
-longest repeat are limited.
+one are ranked further). Neighbours in that order share the longest common prefixes. An interval of the order whose suffixes
+share l words, and no larger interval does, is a repeat that no word to the right extends; if the words before its suffixes differ,
+none to the left does either, and it is a maximal repeated substring. The spans of those of at least MIN_REPEAT words are united;
+the covered fraction of the words and the longest repeat are limited.
 
 Each row stands alone: no shuffle, and no state but that of a chunk of rows, which holds at least one whole text.
 
@@ -33,8 +34,8 @@ _NOT_COUNTED = WHITE + bytes(range(0x80, 0xC0))
 _SYMBOLS = b"#*$%&|<>"
 
 
-def suffix_repeats(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For documents laid end to end: suffix array, common prefix of each suffix with the next one in it, and, by position, the longest prefix shared with another suffix.
+def suffix_array(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For documents laid end to end: suffix array, and the common prefix of each suffix with the next one in it.
 
     ids: a number for each word; ends: for each word, where its document ends. Suffixes of different documents share nothing.
     """
@@ -71,14 +72,72 @@ def suffix_repeats(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
         inside = (x < ends[a]) & (y < ends[b])
         level = levels[power]
         common += (inside & (level[np.minimum(x, n - 1)] == level[np.minimum(y, n - 1)])).astype(np.int64) << power
-    longest = np.zeros(n, np.int64)
-    longest[a] = common
-    np.maximum.at(longest, b, common)
-    return suffixes, common, longest
+    return suffixes, common
+
+
+def intervals(common: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """Intervals of suffixes that share at least so many words: length, first and last place, parent (or -1), and by pair of neighbours that share so many the narrowest interval of both (else -1)."""
+    length, left, right, parent = [], [], [], []
+    of_pair = np.full(len(common), -1, np.int64)
+    places = np.flatnonzero(common >= least)
+    narrowest, stack, before = [], [], -2
+
+    def close(place: int) -> None:
+        while stack:
+            i = stack.pop()
+            right[i] = place
+            parent[i] = stack[-1] if stack else -1
+
+    for place, shared in zip(places.tolist(), common[places].tolist(), strict=True):
+        if place != before + 1:
+            close(before + 1)
+        begin, child = place, -1
+        while stack and length[stack[-1]] > shared:
+            i = stack.pop()
+            right[i], begin = place, left[i]
+            if stack and length[stack[-1]] >= shared:
+                parent[i] = stack[-1]
+            else:
+                child = i
+        if not stack or length[stack[-1]] < shared:
+            stack.append(len(length))
+            length.append(shared), left.append(begin), right.append(-1), parent.append(-1)
+            if child >= 0:
+                parent[child] = stack[-1]
+        narrowest.append(stack[-1])
+        before = place
+    close(before + 1)
+    of_pair[places] = narrowest
+    return np.array(length, np.int64), np.array(left, np.int64), np.array(right, np.int64), np.array(parent, np.int64), of_pair
+
+
+def maximal_repeats(ids: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """By position: words of the longest maximal repeat of at least so many words that begins there; and of the longest repeat of any length that does."""
+    n = len(ids)
+    suffixes, common = suffix_array(ids, ends)
+    any_ = np.zeros(n, np.int64)
+    any_[suffixes[:-1]] = common
+    np.maximum.at(any_, suffixes[1:], common)
+    length, left, right, parent, of_pair = intervals(common, least)
+    found = np.zeros(n, np.int64)
+    if len(length):
+        first = np.append(True, ends[1:] != ends[:-1])
+        word_before = np.where(first, -1 - np.arange(n), np.append(-1, ids[:-1]))[suffixes]
+        changes = np.append(0, np.cumsum(word_before[1:] != word_before[:-1]))
+        maximal = (changes[right] > changes[left]).tolist()
+        value = length.tolist()
+        up = parent.tolist()
+        for i in np.argsort(length, kind="stable").tolist():
+            if not maximal[i]:
+                value[i] = value[up[i]] if up[i] >= 0 else 0
+        pair = np.where(of_pair >= 0, np.array(value, np.int64)[of_pair], 0)
+        found[suffixes[:-1]] = pair
+        np.maximum.at(found, suffixes[1:], pair)
+    return found, any_
 
 
 def _covered(longest: np.ndarray, least: int) -> np.ndarray:
-    """Which words lie in a repeat of at least so many words."""
+    """Which words lie in the span of a repeat of at least so many words."""
     at = np.arange(len(longest))
     return np.maximum.accumulate(np.where(longest >= least, at + longest, 0)) > at
 
@@ -91,11 +150,11 @@ def _chunk(words: list[list[bytes]]) -> tuple[list[int], list[int], list[int]]:
         return [0] * len(words), [0] * len(words), [0] * len(words)
     known: dict[bytes, int] = {}
     ids = np.fromiter((known.setdefault(w, len(known)) for ws in words for w in ws), np.int64, int(stops[-1]))
-    longest = suffix_repeats(ids, np.repeat(stops, counts))[2]
+    maximal, longest = maximal_repeats(ids, np.repeat(stops, counts), BASE_WINDOW)
     full = np.flatnonzero(counts)
     firsts = (stops - counts)[full]
     out = []
-    for values, reduce in ((_covered(longest, BASE_WINDOW).astype(np.int64), np.add), (_covered(longest, MIN_REPEAT).astype(np.int64), np.add), (longest, np.maximum)):
+    for values, reduce in ((_covered(maximal, BASE_WINDOW).astype(np.int64), np.add), (_covered(maximal, MIN_REPEAT).astype(np.int64), np.add), (longest, np.maximum)):
         column = np.zeros(len(words), np.int64)
         column[full] = reduce.reduceat(values, firsts)
         out.append(column.tolist())
@@ -142,7 +201,7 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return judge(load(spark, sf_dir, "documents"))
+    return judge(load(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
 SQL = r"""
@@ -155,5 +214,5 @@ m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_st
  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(d, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r5, 0) AS BIGINT) AS n_repeat_words, coalesce(r8, 0) AS r8, coalesce(far, false) AS far
  FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN lines USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * r8 <= 15 * n_words AND NOT far AS kept FROM b
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * r8 <= 15 * n_words AND NOT far AS kept, CAST(r8 AS BIGINT) AS n_covered FROM b
 """
