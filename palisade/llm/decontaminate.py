@@ -1,16 +1,19 @@
 """Benchmark decontamination: Wu-Manber search for all windows of the benchmark at once, over words.
 
 The patterns are the distinct word windows of the benchmark. For each length among them: a shift table says for a block of
-two words how far the search may skip (its smallest distance to the end of a pattern); blocks that end a pattern lead to a
-bucket of patterns, told apart by their first word and then compared word for word. Words are numbers of the benchmark's
-vocabulary, so comparing numbers is comparing words; words outside it skip a whole window.
+two words (by a hash, equal ones sharing the smaller value) how far the search may skip, its smallest distance to the end of
+a pattern; where it may not skip, the hash of the block leads to the bucket of patterns that end so, a hash of the whole window
+to those in it that may be equal, and these are compared word for word. All tables are arrays: about 50 bytes for a word
+of the benchmark, 10 for each byte of its text.
 
-Size: the benchmark is broadcast in blocks of at most BLOCK_BYTES of text; a larger benchmark is searched for block by
-block, the marks being carried along. The documents are never shuffled and are read once.
+Size: a benchmark of at most BLOCK_BYTES of text is one block, whose tables are sent along with the one pass over the documents.
+A larger one is cut into blocks of about that size (a single item is never cut) and the documents are read once for each, so
+driver and workers hold one block at a time; what a block finds is kept by a digest of the text, for texts with hits only, and
+joined at the end. The documents are not shuffled but by that last join.
 
 Defined cases: null texts and texts without words hit nothing and are no patterns; items with the same text are counted
-each; a null item_id takes part in hits but is not listed. Rows are returned one for one, with repeated or null ids as
-they are; other columns of the inputs are not looked at.
+each, rows with the same item_id once; a null item_id takes part in hits but is not listed. Rows are returned one for one, with
+repeated or null ids as they are; other columns of the inputs are not looked at.
 """
 
 from __future__ import annotations
@@ -21,13 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import carried, extended, load, passed, texts
+from palisade.llm.common import carried, checkpointed, extended, load, passed, texts
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 _WORD = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 
@@ -37,107 +41,209 @@ def item_words(text: bytes | None) -> list[bytes]:
     return text.translate(_WORD).split() if text else []
 
 
+_ODD = 0x9E3779B97F4A7C15
+
+
+def _rolled(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k consecutive values of h."""
+    n = len(h) - k + 1
+    out = h[:n].copy()
+    for i in range(1, k):
+        out *= np.uint64(_ODD)
+        out += h[i : i + n]
+    out ^= out >> np.uint64(29)
+    return out * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+class Table:
+    """The patterns of one length: shift table, buckets by the hash of the last block, windows in them, owners of windows."""
+
+    def __init__(self, length: int, h: np.ndarray, starts: np.ndarray, items: np.ndarray, text) -> None:
+        self.length, self.block = length, min(2, length)
+        blocks = _rolled(h, self.block)
+        bits = min(24, max(12, int(len(starts)).bit_length() + 4))
+        self.down = np.uint64(64 - bits)
+        far = length - self.block + 1
+        self.shift = np.full(1 << bits, far, np.uint8)
+        for end in range(self.block, length + 1):  # smaller shifts last
+            self.shift[(blocks[starts + end - self.block] >> self.down).astype(np.int64)] = length - end
+        suffix, whole = blocks[starts + length - self.block], _rolled(h, length)[starts]
+        order = np.lexsort((starts, whole, suffix))
+        suffix, whole, starts, items = suffix[order], whole[order], starts[order], items[order]
+        # Windows with equal hashes are one pattern if their words are equal; the rest, if any, are patterns of their own.
+        number = np.zeros(len(starts), np.int64)
+        first, seen = -1, {}
+        same = np.append(False, (suffix[1:] == suffix[:-1]) & (whole[1:] == whole[:-1])).tolist()
+        at = starts.tolist()
+        for i, again in enumerate(same):
+            if not again:
+                first, seen = i, {}
+                number[i] = i
+            else:
+                seen = seen or {text(at[first], length): first}
+                number[i] = seen.setdefault(text(at[i], length), i)
+        order = np.lexsort((items, number))
+        number, owners = number[order], items[order]
+        new = np.append(True, number[1:] != number[:-1]) if len(number) else np.zeros(0, bool)
+        places = number[new]
+        self.suffix, self.whole, self.start = suffix[places], whole[places], starts[places].astype(np.int32)
+        self.owners, self.cuts = owners, np.append(np.flatnonzero(new), len(owners)).astype(np.int32)
+        new = np.append(True, self.suffix[1:] != self.suffix[:-1]) if len(places) else np.zeros(0, bool)
+        self.buckets, self.ranges = self.suffix[new], np.append(np.flatnonzero(new), len(places)).astype(np.int32)
+        del self.suffix
+
+    def ends(self, blocks: np.ndarray) -> list[int]:
+        """Starts of windows that may be patterns: those at whose end the shift table allows no skip."""
+        shift = self.shift[(blocks >> self.down).astype(np.int64)].tobytes()
+        found, at, n = [], self.length - self.block, len(shift)
+        while at < n:
+            step = shift[at]
+            if not step:
+                found.append(at - self.length + self.block)
+                step = 1
+            at += step
+        return found
+
+
 class Patterns:
-    """The tables for one block of items; as large as the windows of their texts."""
+    """The tables for one block of items."""
 
     def __init__(self, items: list[tuple[str | None, bytes]], window: int) -> None:
-        self.known: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set] = {}
+        self.items = sorted({i for i, _ in items if i is not None})
+        number = {x: k for k, x in enumerate(self.items)} | {None: -1}
+        flat: list[bytes] = []
+        starts: dict[int, list[np.ndarray]] = {}
+        of: dict[int, list[np.ndarray]] = {}
         for item, text in items:
-            ids = [self.known.setdefault(w, len(self.known) + 1) for w in item_words(text)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                owners.setdefault(tuple(ids[i : i + window]), set()).add(item)
-        self.owners = {p: frozenset(x for x in o if x is not None) for p, o in owners.items()}
-        #: By length of pattern: shifts and buckets by block. A block is the last two words (the last one for patterns of one word).
-        self.tables: list[tuple[int, int, dict, dict]] = []
-        for m in sorted({len(p) for p in owners}):
-            block = min(2, m)
-            shift: dict[tuple, int] = {}
-            bucket: dict[tuple, dict[int, list]] = {}
-            for p in owners:
-                if len(p) == m:
-                    for end in range(block, m + 1):
-                        key = p[end - block : end]
-                        shift[key] = min(shift.get(key, m), m - end)
-                    bucket.setdefault(p[m - block :], {}).setdefault(p[0], []).append(p)
-            self.tables.append((m, block, shift, bucket))
+            words = item_words(text)
+            if words:
+                m = min(window, len(words))
+                found = np.arange(len(flat), len(flat) + len(words) - m + 1)
+                starts.setdefault(m, []).append(found)
+                of.setdefault(m, []).append(np.full(len(found), number[item], np.int32))
+                flat += words
+        h = _hashes(flat)
+        lengths = np.fromiter(map(len, flat), np.int64, len(flat))
+        ends = np.cumsum(lengths + 1) - 1
+        wide = np.int32 if not len(ends) or ends[-1] < 1 << 31 else np.int64
+        self.ends, self.begins = ends.astype(wide), (ends - lengths).astype(wide)
+        self.text = b" ".join(flat)
+        self.tables = [Table(m, h, np.concatenate(starts[m]), np.concatenate(of[m]), self.window) for m in sorted(starts)]
+
+    def window(self, start: int, length: int) -> bytes:
+        """Words of the benchmark, joined."""
+        return self.text[self.begins[start] : self.ends[start + length - 1]]
 
     def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Spans of the occurrences, and the ids of the items that have one."""
-        known = self.known
-        get = known.get
-        ids = [get(w, 0) for w in words]
         spans, items = [], set()
-        n = len(ids)
-        for m, block, shift, bucket in self.tables:
-            far = m - block + 1
-            end = m
-            skip = shift.get
-            while end <= n:
-                if not ids[end - 1]:
-                    end += m
-                    continue
-                key = (ids[end - 2], ids[end - 1]) if block == 2 else (ids[end - 1],)
-                step = skip(key, far)
-                if not step:
-                    for p in bucket[key].get(ids[end - m], ()):
-                        if tuple(ids[end - m : end]) == p:
-                            spans.append((end - m, end))
-                            items |= self.owners[p]
-                    step = 1
-                end += step
-        return spans, items
+        h = _hashes(words)
+        blocks = {k: _rolled(h, k) for k in {t.block for t in self.tables} if len(h) >= k}
+        for t in self.tables:
+            m = t.length
+            if len(words) < m:
+                continue
+            places = np.array(t.ends(blocks[t.block]), np.int64)
+            if not len(places):
+                continue
+            last = blocks[t.block][places + m - t.block]
+            bucket = np.minimum(np.searchsorted(t.buckets, last), len(t.buckets) - 1)
+            places, bucket = places[t.buckets[bucket] == last], bucket[t.buckets[bucket] == last]
+            for at, k in zip(places.tolist(), bucket.tolist(), strict=True):
+                a, b = t.ranges[k], t.ranges[k + 1]
+                whole = _rolled(h[at : at + m], m)[0]
+                at_text = None
+                for p in range(a + np.searchsorted(t.whole[a:b], whole), b):
+                    if t.whole[p] != whole:
+                        break
+                    at_text = at_text or b" ".join(words[at : at + m])
+                    if self.window(t.start[p], m) == at_text:
+                        spans.append((at, at + m))
+                        items.update(t.owners[t.cuts[p] : t.cuts[p + 1]].tolist())
+        return spans, {self.items[k] for k in items if k >= 0}
 
 
 _LAST = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
+_FIELDS = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans binary"
+_FOUND = "digest string, spans binary, items array<string>"
 
 
-def _scan(patterns: Patterns, last: bool):
-    """Adds what one block of items hits to the marks of earlier blocks; after the last one, counts."""
+def _counted(batch: pa.RecordBatch, used: tuple[str, ...], found: list[tuple[int, np.ndarray, list[str]]]) -> pa.RecordBatch:
+    """The other columns of a batch and the marks, from (words, spans, sorted items) of each row."""
+    rows = []
+    for n, pairs, items in found:
+        edges = np.zeros(n + 1, np.int64)
+        np.add.at(edges, pairs[:, 0], 1)
+        np.add.at(edges, pairs[:, 1], -1)
+        hit = int((np.cumsum(edges) > 0).sum())
+        rows.append((n, hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), hit > 0, pairs.astype("<i4").tobytes()))
+    columns, names = passed(batch, used)
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.binary())
+    columns += [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
+    return pa.RecordBatch.from_arrays(columns, [*names, *_LAST])
 
+
+def _mark(patterns: Patterns):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, found, counts = [], [], []
-            for t, before, had in zip(texts(batch), batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True):
+            found = []
+            for t in texts(batch):
                 words = item_words(t)
                 spans, items = patterns.search(words)
-                pairs = np.array(spans, "<i4").reshape(-1, 2)
-                if before:
-                    pairs = np.concatenate([np.frombuffer(before, "<i4").reshape(-1, 2), pairs])
-                    items |= set(had)
-                marks.append(pairs.tobytes())
-                found.append(sorted(items))
-                edges = np.zeros(len(words) + 1 if last else 0, np.int64)
-                if last:
-                    np.add.at(edges, pairs[:, 0], 1)
-                    np.add.at(edges, pairs[:, 1], -1)
-                counts.append((len(words), int((np.cumsum(edges) > 0).sum())))
-            columns, names = passed(batch, ("text", "spans", "items"))
-            if last:
-                digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in found]
-                columns += [pa.array([x for x, _ in counts], pa.int64()), pa.array([x for _, x in counts], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(digests, pa.string()), pa.array([x > 0 for _, x in counts], pa.bool_()), pa.array(marks, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, [*names, *_LAST])
-            else:
-                columns += [batch.column("text"), pa.array(marks, pa.binary()), pa.array(found, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, [*names, "text", "spans", "items"])
+                found.append((len(words), np.array(spans, np.int64).reshape(-1, 2), sorted(items)))
+            yield _counted(batch, ("text",), found)
+
+    return run
+
+
+def _find(patterns: Patterns):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for digest, t in zip(batch.column("digest").to_pylist(), texts(batch), strict=True):
+                spans, items = patterns.search(item_words(t))
+                if spans:
+                    rows.append((digest, np.array(spans, "<i4").tobytes(), sorted(items)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.binary(), pa.list_(pa.string())))], ["digest", "spans", "items"])
 
     return run
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From what the blocks found (lists of spans and of items) to the marks."""
+    for batch in batches:
+        found = []
+        for t, spans, items in zip(texts(batch), batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True):
+            pairs = np.concatenate([np.frombuffer(x, "<i4").reshape(-1, 2) for x in spans]).astype(np.int64) if spans else np.zeros((0, 2), np.int64)
+            found.append((len(item_words(t)), pairs, sorted({x for part in items or () for x in part})))
+        yield _counted(batch, ("text", "digest", "spans", "items"), found)
+
+
 def mark(rows: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The columns of rows but text, then n_words, n_hit, n_items, items_sha256, contaminated, spans (pairs of 32-bit word positions)."""
-    spark = rows.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
-    rows = rows.withColumns({"spans": F.lit(None).cast("binary"), "items": F.lit(None).cast("array<string>")})
+
+    def block(k: int) -> Patterns:
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
+        return Patterns([(r.item_id, r.text.encode()) for r in part.toLocalIterator()], window)
+
+    if blocks == 1:
+        return rows.mapInArrow(_mark(block(0)), extended(rows, ("text",), _FIELDS))
+    # Rows without a text get a digest of their own, so that they do not meet in one task.
+    rows = rows.withColumn("digest", F.coalesce(F.sha2("text", 256), F.concat(F.lit("none-"), F.monotonically_increasing_id())))
+    found = None
     for k in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
-        held = Patterns([(r.item_id, r.text.encode()) for r in block.collect()], window)
-        last = k == blocks - 1
-        fields = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans binary" if last else "text string, spans binary, items array<string>"
-        rows = rows.mapInArrow(_scan(held, last), extended(rows, ("text", "spans", "items"), fields))
-    return rows
+        part = checkpointed(rows.where("text IS NOT NULL").select("digest", "text").mapInArrow(_find(block(k)), _FOUND).dropDuplicates(["digest"]))
+        found = part if found is None else found.unionByName(part)
+    marks = found.groupBy("digest").agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
+    joined = rows.join(marks, "digest", "left")
+    return joined.mapInArrow(_merge, extended(joined, ("text", "digest", "spans", "items"), _FIELDS))
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
