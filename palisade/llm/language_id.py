@@ -4,18 +4,19 @@ A text is the average of the subword embeddings of its words, put through a line
 training. Texts kept out of training fit a temperature, and give the threshold of rejection: the confidence that all but
 REJECT of those that were told right reach, at most CEILING.
 
-Size: training takes at most PER_CLASS documents of each of at most MAX_LANGUAGES languages (documented bounds; documents
-are picked by a hash of doc_id, languages by count), and of a text of more than PER_TEXT words so many, drawn with replacement;
-the texts that fit temperature and threshold are read whole, as those that are scored. Scoring is one pass over all rows without a shuffle, over whole texts.
-
-Defined cases: a null text, or one without a letter, is "und" with score 0 and rejected, and so is every text if nothing
-could be learned; a text with letters always gets a learned language. Rows are returned one for one; other columns are not
-looked at.
+Size: training takes at most PER_CLASS documents of each language and MOST of all languages together, one of each at least
+(documented bounds; documents are picked by a hash of doc_id); all texts are read whole, in training, calibration and scoring.
+The driver holds one text's words at a time, and of each training text a bag of at most BUCKETS counted buckets. The model is
+one embedding for each bucket and one column for each language. Scoring is one pass over all rows without a shuffle.
+
+Defined cases: a null text, or one without a letter, is "und" with score 0 and rejected; if nothing could be learned, all
+texts are "und" with score 0, but those with letters are not rejected, as nothing speaks against them; a text with letters
+otherwise always gets a learned language. Rows are returned one for one; other columns are not looked at.
 """
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,47 +27,52 @@ from pyspark.sql import functions as F
 from palisade.llm.common import carried, extended, fold, load, passed, training_sample
 from palisade.llm.subword import BUCKETS, GRAMS, PART, WIDTH, Bags, grams, softmax, words_of
 
-PER_CLASS, PER_TEXT, MAX_LANGUAGES, FOLDS, HELD_OUT = 500, 400, 200, 4, 2
+PER_CLASS, MOST, FOLDS, HELD_OUT = 500, 10_000, 4, 2
 ROUNDS, BATCH, RATE, CACHE = 6, 32, 8.0, 400_000
 #: Share of rightly told texts that the threshold may reject, and its highest value.
 REJECT, CEILING = 0.001, 0.5
 
-_LETTER = re.compile(r"[^\W\d_]")
+
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter (Unicode category L); superscripts and circled numbers are none."""
+    return any(map(str.isalpha, text))
 
 
 class Model:
-    """table: the scores of each language by bucket."""
+    """table: the embeddings; soft and bias: the softmax."""
 
-    def __init__(self, languages: list[str], table: np.ndarray, bias: np.ndarray, temperature: float, threshold: float) -> None:
-        self.languages, self.table, self.bias, self.temperature, self.threshold = languages, table.astype(np.float32), bias, temperature, threshold
+    def __init__(self, languages: list[str], table: np.ndarray, soft: np.ndarray, bias: np.ndarray, temperature: float = 1.0, threshold: float = 0.0) -> None:
+        self.languages, self.table, self.soft, self.bias = languages, table.astype(np.float32), soft, bias
+        self.temperature, self.threshold = temperature, threshold
 
     def word(self, word: str) -> tuple[np.ndarray, int]:
         rows = grams(word, GRAMS, BUCKETS)
         return self.table[rows].sum(0), len(rows)
 
 
+def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all words of a text, and how often each comes."""
+    words = Counter(words_of(text))
+    rows = [grams(w, GRAMS, BUCKETS) for w in words]
+    times = np.repeat(list(words.values()), [len(r) for r in rows])
+    total = np.bincount(np.concatenate(rows).astype(np.int64), times, BUCKETS)
+    found = np.flatnonzero(total)
+    return found.astype(np.uint16), total[found].astype(np.float32)
+
+
 def train(rows: list[tuple[str, str]], seed: int = 5) -> Model | None:
-    rows = [(t, y) for t, y in rows if t and y is not None and _LETTER.search(t)]
+    rows = [(t, y) for t, y in rows if t and y is not None and has_letter(t)]
     languages = sorted({y for _, y in rows})
     if not languages:
         return None
     rng = np.random.default_rng(seed)
     rows = [rows[i] for i in rng.permutation(len(rows))]
-    # The driver holds one text's words at a time, and bags as arrays of two bytes a bucket.
-    known: dict[str, np.ndarray] = {}
-    bags = []
     cut = len(rows) // 5
-    for text, _ in rows[cut:]:
-        words = words_of(text)
-        pick = words if len(words) <= PER_TEXT else [words[i] for i in rng.integers(0, len(words), PER_TEXT)]
-        for w in pick:
-            if w not in known:
-                known[w] = np.array(grams(w, GRAMS, BUCKETS), np.uint16)
-        bags.append(np.concatenate([known[w] for w in pick]))
     number = {y: i for i, y in enumerate(languages)}
     label = np.array([number[y] for _, y in rows])
+    bags = [bag(t) for t, _ in rows[cut:]]
     kept = [t for t, _ in rows[:cut]]
-    del known, rows
+    del rows
     table = rng.normal(0, 0.1, (BUCKETS, WIDTH))
     soft, bias = rng.normal(0, 0.5, (WIDTH, len(languages))), np.zeros(len(languages))
     steps = [np.arange(i, min(i + BATCH, len(bags))) for i in range(0, len(bags), BATCH)]
@@ -74,31 +80,31 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> Model | None:
         rate = RATE * (1 - round_ / ROUNDS)
         for i in rng.permutation(len(steps)).tolist():
             at = steps[i]
-            bag = Bags([bags[j] for j in at.tolist()])
-            mean = bag.mean(table)
+            now = Bags([bags[j][0] for j in at.tolist()], [bags[j][1] for j in at.tolist()])
+            mean = now.mean(table)
             g = softmax(mean @ soft + bias)
             g[np.arange(len(at)), label[cut + at]] -= 1
             g /= len(at)
-            back = g @ soft.T
-            each = np.repeat(back / bag.counts[:, None], bag.counts, axis=0)
-            touched, where = np.unique(bag.rows, return_inverse=True)
+            back = g @ soft.T / now.counts[:, None]
+            touched, where = np.unique(now.rows, return_inverse=True)
+            each = back[now.of] * now.times[:, None]
             table[touched] -= rate * 20 * np.stack([np.bincount(where, each[:, k]) for k in range(WIDTH)], 1)
             soft -= rate * 0.1 * (mean.T @ g)
             bias -= rate * 0.02 * g.sum(0)
-    temperature, threshold = 1.0, 0.0
+    model = Model(languages, table, soft, bias)
     if cut:
-        teller = Teller(Model(languages, table @ soft, bias, temperature, threshold))
+        teller = Teller(model)
         z = np.stack([teller.logits(t) for t in kept])
         losses = [(-np.log(softmax(z / t)[np.arange(cut), label[:cut]] + 1e-12).mean() + 0.002 * t, t) for t in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0)]
-        temperature = min(losses)[1]
-        p = softmax(z / temperature)
+        model.temperature = min(losses)[1]
+        p = softmax(z / model.temperature)
         right = np.sort(p.max(1)[p.argmax(1) == label[:cut]])
-        threshold = float(min(CEILING, right[int(REJECT * len(right))])) if len(right) else 0.0
-    return Model(languages, table @ soft, bias, temperature, threshold)
+        model.threshold = float(min(CEILING, right[int(REJECT * len(right))])) if len(right) else 0.0
+    return model
 
 
 class Teller:
-    """Applies a model; remembers the score sums of words."""
+    """Applies a model; remembers the sums of the embeddings of words."""
 
     def __init__(self, model: Model | None) -> None:
         self.model = model
@@ -106,11 +112,11 @@ class Teller:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.sums = np.zeros((1024, len(self.model.languages) + 1 if self.model else 1))
+        self.sums = np.zeros((1024, WIDTH + 1))
 
     def logits(self, text: str) -> np.ndarray:
         """The scores of the languages for a whole text, before the temperature."""
-        at, apart = [], np.zeros(len(self.model.languages) + 1)
+        at, apart = [], np.zeros(WIDTH + 1)
         for w in words_of(text):
             if w[0] == PART:  # parts of long runs hardly come again
                 total, n = self.model.word(w)
@@ -125,14 +131,15 @@ class Teller:
                 self.sums[k, :-1], self.sums[k, -1] = total, n
             at.append(k)
         total = self.sums[at].sum(0) + apart
-        total[-1] = total[-1] or 1.0
         if len(self.known) > CACHE:
             self.clear()
-        return total[:-1] / total[-1] + self.model.bias
+        return (total[:-1] / (total[-1] or 1.0)) @ self.model.soft + self.model.bias
 
     def tell(self, text: str | None) -> tuple[str, float, bool]:
-        if not text or self.model is None or not _LETTER.search(text):
+        if not text or not has_letter(text):
             return "und", 0.0, True
+        if self.model is None:
+            return "und", 0.0, False
         z = self.logits(text) / self.model.temperature
         p = np.exp(z - z.max())
         p /= p.sum()
@@ -152,11 +159,10 @@ def _tell(model: Model | None):
     return run
 
 
-def fit(docs: DataFrame, per_class: int = PER_CLASS) -> Model | None:
-    """A model from at most per_class rows of docs(doc_id, text, lang) for each language, without the held-out fold."""
-    rows = docs.select("doc_id", "lang").where((fold("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull())
-    languages = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    return train(training_sample(rows, docs, "lang", dict.fromkeys(sorted(languages), per_class), 4)) if languages else None
+def fit(docs: DataFrame, per_class: int = PER_CLASS, most: int = MOST) -> Model | None:
+    """A model from rows of docs(doc_id, text, lang), without the held-out fold: per_class of each language at most, most in all."""
+    rows = docs.select("doc_id", "lang").where(fold("doc_id", FOLDS) != HELD_OUT)
+    return train(training_sample(rows, docs, "lang", per_class, 4, most)[0])
 
 
 def tell(rows: DataFrame, model: Model | None) -> DataFrame:

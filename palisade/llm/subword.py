@@ -46,20 +46,22 @@ def grams(word: str, lengths: tuple[int, ...] = GRAMS, buckets: int = BUCKETS) -
 
 
 class Bags:
-    """Bags of buckets laid end to end."""
+    """Bags of buckets laid end to end, each bucket with how often it comes."""
 
-    def __init__(self, bags: list) -> None:
-        self.counts = np.fromiter(map(len, bags), np.int64, len(bags))
-        self.rows = np.concatenate([np.asarray(b, np.int64) for b in bags]) if bags else np.zeros(0, np.int64)
-        self.firsts = np.cumsum(self.counts) - self.counts
+    def __init__(self, bags: list, times: list | None = None) -> None:
+        sizes = np.fromiter(map(len, bags), np.int64, len(bags))
+        self.rows = np.concatenate([np.asarray(b, np.int32) for b in bags]) if bags else np.zeros(0, np.int32)
+        self.times = np.ones(len(self.rows)) if times is None else np.concatenate(times).astype(float)
+        self.firsts = np.cumsum(sizes) - sizes
+        self.of = np.repeat(np.arange(len(bags)), sizes)
+        self.counts = np.bincount(self.of, self.times, len(bags))
 
-    def mean(self, table: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(table[self.rows], self.firsts, axis=0) / self.counts[:, None]
+    def sums(self, table: np.ndarray) -> np.ndarray:
+        """By bag, the sum of its rows of a table of one or two dimensions."""
+        return np.add.reduceat(table[self.rows] * (self.times if table.ndim == 1 else self.times[:, None]), self.firsts, axis=0)
 
-    def spread(self, grad: np.ndarray, size: int) -> np.ndarray:
-        """The gradient of the table, from that of the means."""
-        each = np.repeat(grad / self.counts[:, None], self.counts, axis=0)
-        return np.stack([np.bincount(self.rows, each[:, k], size) for k in range(grad.shape[1])], 1)
+    def mean(self, table: np.ndarray) -> np.ndarray:
+        return self.sums(table) / (self.counts if table.ndim == 1 else self.counts[:, None])
 
 
 class Adam:

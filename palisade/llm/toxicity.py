@@ -1,16 +1,16 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is the average of its subword embeddings, put through a two-class linear softmax; the log-odds of a document is the
-soft maximum (log of the sum of exponentials) over its distinct words, so one insult counts in a text of any length. The
-embeddings and the softmax are trained together, through the soft maximum, from document labels alone; a misspelt word
-shares most n-gram vectors with the word that it comes from, and a run of over 40 characters counts as its overlapping parts. A logistic curve fitted on labelled documents that were kept
-out of training turns log-odds into a score.
+A text is the average of the embeddings of the subwords (character n-grams, and the word itself) of its distinct words, put
+through a two-class linear softmax; embeddings and softmax are trained together from document labels alone. A misspelt word
+shares most n-gram vectors with the word that it comes from, and a run of over 40 characters counts as its overlapping
+parts. A logistic curve fitted on labelled documents that were kept out of training turns log-odds into a score.
 
 Size: training takes at most PER_CLASS labelled rows of each label (a documented bound; rows are picked by a hash of
-doc_id); scoring is one pass over all rows without a shuffle, and a worker caches the scores of at most CACHE words.
+doc_id), whole; scoring is one pass over all rows without a shuffle, and a worker caches the sums of at most CACHE words.
 
-Defined cases: a null text, or one without words, gets the score of a text whose words all are harmless; without labelled
-rows of both kinds every score is 0. Rows are returned one for one; other columns are not looked at.
+Defined cases: a null text, or one without words, gets the score of an average of nothing, that is of the softmax's bias alone,
+but never over 0.49; without labelled rows of both kinds every score is 0. A doc_id labelled twice counts once, one labelled both
+ways counts for both labels. Rows are returned one for one; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -28,28 +28,28 @@ from palisade.llm.subword import PART, Adam, Bags, grams, words_of
 #: Labelled rows of each label at most; held-out fold.
 PER_CLASS, FOLDS, HELD_OUT = 2500, 5, 0
 LENGTHS, BUCKETS, WIDTH = (3, 4, 5), 1 << 17, 4
-ROUNDS, RATE, DECAY, CACHE = 60, 0.08, 2e-6, 400_000
+ROUNDS, RATE, DECAY, CACHE = 150, 0.08, 2e-6, 400_000
+#: One of so many labelled rows is kept out to fit the logistic curve.
+KEPT_OUT = 8
+#: What toxic texts weigh together when the curve is fitted; the others weigh the rest.
+TOXIC = 0.4
 
 
 class Model:
-    """table: the log-odds of each bucket; offset and the logistic curve's slope and shift."""
+    """table: the log-odds of each bucket, of which a text's are the mean; the softmax's bias; the logistic curve's slope and shift."""
 
-    def __init__(self, table: np.ndarray, floor: float, slope: float, shift: float) -> None:
-        self.table, self.floor, self.slope, self.shift = table.astype(np.float32), floor, slope, shift
+    def __init__(self, table: np.ndarray, bias: float, slope: float = 1.0, shift: float = 0.0) -> None:
+        self.table, self.bias, self.slope, self.shift = table.astype(np.float32), bias, slope, shift
 
-    def word(self, word: str) -> float:
-        return float(self.table[grams(word, LENGTHS, BUCKETS)].mean())
+    def word(self, word: str) -> tuple[float, int]:
+        """The sum over a word's subwords, and their number."""
+        rows = grams(word, LENGTHS, BUCKETS)
+        return float(self.table[rows].sum()), len(rows)
 
-    def score(self, odds: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * odds + self.shift, -30, 30))))
-
-
-def _pooled(z: np.ndarray, firsts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Soft maximum of each document, and each word's share in it."""
-    top = np.maximum.reduceat(z, firsts)
-    e = np.exp(z - np.repeat(top, counts))
-    total = np.add.reduceat(e, firsts)
-    return top + np.log(total), e / np.repeat(total, counts)
+    def score(self, odds: float | None) -> float:
+        """The score for log-odds; None: of a text without words."""
+        p = float(1 / (1 + np.exp(-np.clip(self.slope * (self.bias if odds is None else odds) + self.shift, -30, 30))))
+        return min(p, 0.49) if odds is None else p
 
 
 def train(rows: list[tuple[str, int]], seed: int = 7) -> Model | None:
@@ -59,69 +59,60 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Model | None:
         return None
     rng = np.random.default_rng(seed)
     docs = [docs[i] for i in rng.permutation(len(docs))]
-    cut = max(1, len(docs) // 5) if len({y for _, y in docs[: len(docs) // 5]}) == 2 and len({y for _, y in docs[len(docs) // 5 :]}) == 2 else 0
+    cut = len(docs) // KEPT_OUT
+    if any(len({y for _, y in part}) < 2 for part in (docs[:cut], docs[cut:])):
+        cut = 0
     known: dict[str, int] = {}
-    at = [np.array([known.setdefault(w, len(known)) for w in ws]) for ws, _ in docs]
-    label = np.array([y for _, y in docs], float)
-    words = list(known)
-    fit_words = np.unique(np.concatenate(at[cut:]))
-    bags = Bags([grams(words[i], LENGTHS, BUCKETS) for i in fit_words.tolist()])
-    counts = np.array([len(x) for x in at[cut:]])
-    firsts = np.cumsum(counts) - counts
-    flat = np.searchsorted(fit_words, np.concatenate(at[cut:]))
-    y = label[cut:]
+    flat = np.array([known.setdefault(w, len(known)) for ws, _ in docs[cut:] for w in ws], np.int32)
+    of = np.repeat(np.arange(len(docs) - cut), [len(ws) for ws, _ in docs[cut:]])
+    words = Bags([grams(w, LENGTHS, BUCKETS) for w in known])
+    y = np.array([y for _, y in docs[cut:]], float)
+    size = np.bincount(of, words.counts[flat])
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     table = rng.normal(0, 0.3, (BUCKETS, WIDTH))
     soft = rng.normal(0, 0.5, (WIDTH, 2))
-    bias = np.array([-np.log(counts.mean()) - 1.0])
+    bias = np.array([-1.0])
     adam = Adam(RATE)
     for _ in range(ROUNDS):
-        mean = bags.mean(table)
+        # As all is linear, averages of embeddings times the softmax are averages of the buckets' log-odds.
         direction = soft[:, 1] - soft[:, 0]
-        z = mean @ direction + bias[0]
-        pooled, share = _pooled(z[flat], firsts, counts)
-        p = 1 / (1 + np.exp(-np.clip(pooled, -30, 30)))
-        g_doc = weight * (p - y)
-        g_word = np.bincount(flat, np.repeat(g_doc, counts) * share, len(z))
-        g_dir = mean.T @ g_word
-        adam.step(table=(table, bags.spread(g_word[:, None] * direction[None, :], BUCKETS) + DECAY * table), soft=(soft, np.stack([-g_dir, g_dir], 1)), bias=(bias, np.array([g_word.sum()])))
-    odds = table @ (soft[:, 1] - soft[:, 0])
-    floor = float(bias[0])
-    model = Model(odds + floor, floor, 1.0, 0.0)
+        odds = np.bincount(of, words.sums(table @ direction)[flat]) / size + bias[0]
+        g = weight * (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - y)
+        g_word = np.bincount(flat, (g / size)[of], len(known))
+        g_bucket = np.bincount(words.rows, g_word[words.of], BUCKETS)
+        g_dir = table.T @ g_bucket
+        adam.step(table=(table, g_bucket[:, None] * direction + DECAY * table), soft=(soft, np.stack([-g_dir, g_dir], 1)), bias=(bias, np.array([g.sum()])))
+    model = Model(table @ (soft[:, 1] - soft[:, 0]), float(bias[0]))
     if cut:
-        pooled = np.array([document(model, ws) for ws, _ in docs[:cut]])
-        slope, shift = _logistic(pooled, label[:cut])
-        model = Model(odds + floor, floor, slope, shift)
+        model.slope, model.shift = _logistic(np.array([document(model, ws) for ws, _ in docs[:cut]]), np.array([y for _, y in docs[:cut]], float))
     return model
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope (0.05 to 3) and shift of a logistic curve, by gradient descent on the log loss with a weak pull towards slope 1 and shift 0."""
     x = np.clip(x, -15, 15)
+    weight = np.where(y > 0, TOXIC / y.sum(), (1 - TOXIC) / (len(y) - y.sum()))
     w, adam = np.array([1.0, 0.0]), Adam(0.05)
     for _ in range(400):
-        g = 1 / (1 + np.exp(-np.clip(w[0] * x + w[1], -30, 30))) - y
-        adam.step(w=(w, np.array([(g * x).mean(), g.mean()]) + 1e-3 * (w - [1.0, 0.0])))
+        g = weight * (1 / (1 + np.exp(-np.clip(w[0] * x + w[1], -30, 30))) - y)
+        adam.step(w=(w, np.array([(g * x).sum(), g.sum()]) + 1e-2 * (w - [1.0, 0.0])))
         w[0] = min(max(w[0], 0.05), 3.0)
     return float(w[0]), float(w[1])
 
 
-def document(model: Model, words: list[str], cache: dict | None = None) -> float:
-    """The log-odds of a text with these distinct words."""
+def document(model: Model, words: list[str], cache: dict | None = None) -> float | None:
+    """The log-odds of a text with these distinct words; None without words."""
     cache = {} if cache is None else cache
-    values = []
+    total, n = 0.0, 0
     for w in words:
         v = cache.get(w)
         if v is None:
             v = model.word(w)
             if w[0] != PART:  # parts of long runs hardly come again
                 cache[w] = v
-        values.append(v)
-    if not values:
-        return model.floor
-    z = np.array(values)
-    top = z.max()
-    return float(top + np.log(np.exp(z - top).sum()))
+        total += v[0]
+        n += v[1]
+    return total / n + model.bias if n else None
 
 
 def _score(model: Model | None):
@@ -130,7 +121,7 @@ def _score(model: Model | None):
         for batch in batches:
             scores = []
             for t in batch.column("text").to_pylist():
-                scores.append(model.score(document(model, list(set(words_of(t or ""))), cache)) if model else 0.0)
+                scores.append(model.score(document(model, sorted(set(words_of(t or ""))), cache)) if model else 0.0)
                 if len(cache) > CACHE:
                     cache.clear()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
@@ -141,7 +132,7 @@ def _score(model: Model | None):
 def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs(doc_id, text); labels has doc_id and toxic."""
     rows = labels.select("doc_id", "toxic").where((fold("doc_id", FOLDS) != HELD_OUT) & F.col("toxic").isNotNull())
-    model = train(training_sample(rows, docs, "toxic", {0: per_class, 1: per_class}, 3))
+    model = train(training_sample(rows.where("toxic IN (0, 1)"), docs, "toxic", per_class, 3)[0])
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False)))
     return out.mapInArrow(_score(model), "doc_id long, held_out boolean, score double, predicted int")
 
