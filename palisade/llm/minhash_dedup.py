@@ -5,12 +5,17 @@
 2. Rows with the same set are one class (found by a digest of the set), represented by its smallest doc_id; from here on
    there are representatives only, so copies never multiply.
 3. Each member of a bucket is linked to its HUBS hubs only (the smallest doc_id, then others by hashes), so a
-   bucket of n members makes fewer than HUBS * n candidate edges; a text has a hub in each of its up to BANDS buckets. Edges whose parity sketches differ too much for the
-   threshold are left out, the rest is confirmed on the full sets, and gives components.
-4. What the stars leave: members of one bucket that are in different components afterwards are compared with each other under
-   two tests, the same one of sketches and another exact one: a shingle that occurs in one text only is in no intersection, so
-   with u such shingles of n in each text the similarity is at most min(n - u) / (u + u' + max(n - u)). Texts that were edited
-   apart fail it at once. A pair is taken in the smallest key that its bands share, so once. Pairs that pass are confirmed on the full sets, so no link is lost to the choice of hubs.
+   bucket of n members makes fewer than HUBS * n candidate edges; a text has a hub in each of its up to BANDS buckets. Edges
+   whose parity sketches differ too much for the threshold are left out, the rest is confirmed on the full sets, and gives components.
+4. What the stars leave: texts of buckets in which there are different components afterwards. A link between two of them needs
+   shared shingles, and both tests here are exact. A text with more than n - LEAST(n) shingles that no other such text has is
+   linked with none of them, where LEAST(n) is the fewest that n shingles and any others can share at the threshold; such
+   texts go, by rounds, as their going leaves others alone. Of the rest only texts are compared that have one of their n - LEAST(n) + 1
+   rarest shingles in common, under the test of sketches. Pairs that pass are confirmed on the full sets, so no
+   link is lost to the choice of hubs. Texts that were edited apart share frequent shingles only, and make no pairs.
+
+Hot keys (a bucket, or a group of copies, of more than a small part of all rows) are joined by broadcast, so that their rows stay
+where they are; everything else about a bucket is aggregated before it is shuffled.
 
 A parity sketch has SKETCH bits, each the parity of the number of hashes of the set that fall on it. The sketches of two sets
 differ in at most as many bits as the sets differ in hashes, so a pair at the threshold or above is never left out, whatever
@@ -29,10 +34,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.llm.common import LOWER, checkpointed, load, texts
+from palisade.llm.common import LOWER, checkpointed, joined_by_size, load, texts
 from palisade.llm.components import connected
 
 SHINGLE, PERCENT = 4, 80
@@ -43,6 +48,8 @@ BANDS = BANDED // ROWS
 SKETCH = 1024
 WORDS = SKETCH // 64
 HUBS = 1
+#: Rounds in which texts that are alone are let go before the rest is compared; more would only save comparisons.
+PEEL_ROUNDS = 4
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -189,18 +196,18 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text) that has an id."""
     signed = checkpointed(signatures(docs, k))
-    classes = checkpointed(signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")))
+    classes = checkpointed(signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")))
     keys = classes.select("rep", F.explode("bands").alias("key"))
     hubs = F.array_distinct(F.array(F.min("rep"), *(F.min_by("rep", F.xxhash64("rep", F.lit(i))) for i in range(1, HUBS))))
-    buckets = keys.groupBy("key").agg(F.count("*").alias("size"), hubs.alias("hubs")).where("size > 1")
-    members = checkpointed(keys.join(buckets, "key"))
+    buckets = checkpointed(keys.groupBy("key").agg(F.count("*").alias("size"), hubs.alias("hubs")).where("size > 1"))
+    members = checkpointed(joined_by_size(keys, buckets, "key"))
 
-    def signed_pairs(pairs: DataFrame) -> DataFrame:
+    def sifted(pairs: DataFrame) -> DataFrame:
         a, b = (classes.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
         return pairs.join(a, "a").join(b, "b").where(_alike(F.col("sa"), F.col("sb"), F.col("na") + F.col("nb"), percent)).select("a", "b")
 
     star = members.select("rep", F.explode("hubs").alias("hub")).where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    edges = checkpointed(signed_pairs(star))
+    edges = checkpointed(sifted(star))
     # Buckets of which the stars have not compared all pairs.
     open_ = members.where(F.col("size") > F.size("hubs") + 1).select("key", "rep")
     needed = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).union(open_.select("rep")).distinct()
@@ -214,22 +221,37 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     links = confirmed(edges)
     labels = connected(links)
     at = open_.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
-    mixed = at.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    apart = checkpointed(at.join(mixed, "key"))
+    mixed = at.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size")
+    apart = checkpointed(joined_by_size(at, mixed, "key").select("rep", "label").distinct())
     if not apart.isEmpty():
-        owned = hashes.join(apart.select("rep").distinct(), "rep", "left_semi").mapInArrow(_single, "rep long, hash long")
-        alone = owned.groupBy("hash").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).where("c = 1").groupBy("rep").agg(F.count("*").alias("u"))
-        facts = classes.select("rep", "n", "sketch", "bands").join(apart.select("rep").distinct(), "rep", "left_semi").join(alone, "rep", "left").select("rep", "n", "sketch", "bands", F.coalesce("u", F.lit(0)).alias("u"), (F.col("n") - F.coalesce("u", F.lit(0))).alias("rest"))
-        sides = checkpointed(apart.join(facts, "rep"))
-        m, o = sides.alias("m"), sides.alias("o")
-        possible = F.lit(100) * F.least("m.rest", "o.rest") >= F.lit(percent) * (F.col("m.u") + F.col("o.u") + F.greatest("m.rest", "o.rest"))
-        first = F.array_min(F.array_intersect("m.bands", "o.bands")) == F.col("m.key")
-        pairs = m.join(o, (F.col("m.key") == F.col("o.key")) & (F.col("m.rep") < F.col("o.rep")) & (F.col("m.label") != F.col("o.label")) & possible & _alike(F.col("m.sketch"), F.col("o.sketch"), F.col("m.n") + F.col("o.n"), percent) & first)
-        found = confirmed(pairs.select(F.col("m.rep").alias("a"), F.col("o.rep").alias("b")).distinct())
+        found = confirmed(sifted(_rare_pairs(apart, classes, hashes, percent)))
         if not found.isEmpty():
             labels = connected(links.unionByName(found))
-    component = signed.join(classes.select("digest", "rep"), "digest", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    return component.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", "size", F.coalesce("component", "rep").alias("component_id"))
+    full = joined_by_size(signed.where("digest IS NOT NULL").select("doc_id", "n_shingles", "digest"), named, "digest").select("doc_id", "n_shingles", "component_id")
+    empty = signed.where("digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return full.unionByName(empty).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def _rare_pairs(apart: DataFrame, classes: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of texts with different labels that share one of their rarest shingles, so many that no link is left out."""
+    # A link of n shingles with others shares at least ceil(percent * n / 100), as the union has at least n.
+    left = classes.select("rep", "n").join(apart, "rep").withColumn("most", F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100))
+    owned = checkpointed(hashes.join(left.select("rep"), "rep", "left_semi").mapInArrow(_single, "rep long, hash long"))
+    for _ in range(PEEL_ROUNDS):
+        counts = owned.groupBy("hash").agg(F.count("*").alias("c"), F.min("rep").alias("rep"))
+        alone = counts.where("c = 1").groupBy("rep").agg(F.count("*").alias("u"))
+        lost = checkpointed(alone.join(left.select("rep", "most"), "rep").where("u > most").select("rep"))
+        if lost.isEmpty():
+            break
+        left = checkpointed(left.join(lost, "rep", "left_anti"))
+        owned = checkpointed(owned.join(lost, "rep", "left_anti"))
+    counts = checkpointed(owned.groupBy("hash").agg(F.count("*").alias("size")))
+    rank = F.row_number().over(Window.partitionBy("rep").orderBy("size", "hash"))
+    rare = joined_by_size(owned, counts, "hash").withColumn("rank", rank).join(left, "rep").where("rank <= most + 1 AND size > 1").select("rep", "label", "n", "hash")
+    a, b = (rare.select(F.col("rep").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}"), "hash") for x in "ab")
+    near = F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
+    return a.join(b, "hash").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & near).select("a", "b").distinct()
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
