@@ -6,8 +6,9 @@ minimisers, so they meet there, where they are sorted by hash and compared byte
 
 Skew: a map task sends a super-k-mer that it sees again only once and settles the repeats itself, so a passage that a third
 of all rows share arrives once per chunk of a map task, not once per row. Buckets are many and small; a reduce task
-loads them one after the other, and one that is too large in several passes over ranges of the window hash, while the
-packed strings stay compressed.
+loads them one after the other. Of a bucket of more than BUCKET_MOST bytes it reads the strings one at a time and passes their windows
+on, as a 128-bit hash, document and start; these are dealt by hash over all tasks and sorted there, so a minimiser that very many
+different texts share costs its own task one reading and nothing more. A map task remembers what it has sent, up to SEEN strings.
 
 Defined cases: a null or empty text has no words; a text shorter than the window keeps all of them. Rows that share a
 doc_id count as one document (a window at the same start in two of them is not earlier in either). A row without doc_id
@@ -31,7 +32,9 @@ from palisade.llm.common import plan_bytes, shuffle_partitions, texts
 #: Words in a window, and words in the pieces among which a window's minimiser is sought.
 WINDOW, PIECE = 20, 4
 #: Words handled at a time by a map task; bytes that it gathers before it sends; packed bytes that a reduce task loads at a time.
-CHUNK_WORDS, SEND_BYTES, LOAD_BYTES = 300_000, 48 << 20, 12 << 20
+CHUNK_WORDS, SEND_BYTES, LOAD_BYTES = 300_000, 32 << 20, 12 << 20
+#: Bytes of a bucket that are settled at once; strings that a map task remembers.
+BUCKET_MOST, SEEN = 48 << 20, 100_000
 #: A bucket gets about so many packed bytes; the packed strings are about so many times the stored input.
 BUCKET_BYTES, GROWTH = 16 << 20, 6
 
@@ -97,7 +100,7 @@ def _runs(starts: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, by
 def _pack(buckets: int, k: int, m: int):
     """Documents to packed super-k-mers by bucket, and the spans that a chunk settles itself (those have no packed string)."""
 
-    def chunk(ids: list[int], words: list[list[bytes]], out: dict, settled: list) -> int:
+    def chunk(ids: list[int], words: list[list[bytes]], out: dict, settled: list, sent: dict) -> int:
         order = np.argsort(np.asarray(ids, np.int64), kind="stable")
         ids, words = np.asarray(ids, np.int64)[order], [words[i] for i in order]
         counts = np.fromiter(map(len, words), np.int64, len(words))
@@ -123,12 +126,14 @@ def _pack(buckets: int, k: int, m: int):
         to = ends[b + k - 1].tolist()
         bucket = (_mix(low[at]) % np.uint64(buckets)).astype(np.int64).tolist()
         of, begin, last = ids[doc[a]].tolist(), (a - first[doc[a]]).tolist(), (b - first[doc[b]]).tolist()
-        seen: dict[bytes, tuple[int, int]] = {}
         size = 0
         for x, y, z, i, s, e in zip(from_, to, bucket, of, begin, last, strict=True):
             piece = buffer[x:y]
-            got = seen.setdefault(piece, (i, s))
-            if got[0] == i and got[1] == s:
+            digest = xxhash.xxh3_128_digest(piece)
+            got = sent.get(digest)
+            if got is None or (i, s) <= got:
+                if got is not None or len(sent) < SEEN:
+                    sent[digest] = (i, s)
                 row = out.setdefault(z, ([], [], []))
                 row[0].append(piece)
                 row[1].append(i)
@@ -165,6 +170,7 @@ def _pack(buckets: int, k: int, m: int):
         pack = zstandard.ZstdCompressor(level=1).compress
         out: dict = {}
         settled: list = []
+        sent: dict[bytes, tuple[int, int]] = {}
         ids: list[int] = []
         words: list[list[bytes]] = []
         n = size = 0
@@ -177,13 +183,13 @@ def _pack(buckets: int, k: int, m: int):
                 words.append(w)
                 n += len(w)
                 if n >= CHUNK_WORDS:
-                    size += chunk(ids, words, out, settled)
+                    size += chunk(ids, words, out, settled, sent)
                     ids, words, n = [], [], 0
                     if size >= SEND_BYTES:
                         yield from send(out, settled, pack)
                         size = 0
         if ids:
-            chunk(ids, words, out, settled)
+            chunk(ids, words, out, settled, sent)
         yield from send(out, settled, pack)
 
     return run
@@ -205,87 +211,119 @@ def _windows(text: bytes, meta: bytes, k: int) -> tuple[np.ndarray, ...]:
     return h[ok], np.frombuffer(meta, "<i8", n)[of], np.frombuffer(meta, "<i4", n, 8 * n)[of] + (ok - first[of]), ends[ok] - lengths[ok], ends[ok + k - 1]
 
 
-def _duplicates(packs: list[tuple[bytes, bytes]], k: int, parts: int) -> Iterator[tuple[int, bytes]]:
-    """Spans of the windows that start earlier elsewhere in these packed strings, which hold whole buckets.
-
-    With parts over 1, windows are handled in so many passes over classes of their hash, and one string is unpacked at a time.
-    """
+def _duplicates(packs: list[tuple[bytes, bytes]], k: int) -> Iterator[tuple[int, bytes]]:
+    """Spans of the windows that start earlier elsewhere in these packed strings, which hold whole buckets."""
     unpack = zstandard.ZstdDecompressor().decompress
-    kept = [unpack(p) for p, _ in packs] if parts == 1 else None
-    for part in range(parts):
-        columns: list[list] = [[], [], [], [], [], []]
-        for number, (packed, meta) in enumerate(packs):
-            found = _windows(kept[number] if kept else unpack(packed), unpack(meta), k)
-            if parts > 1:
-                mine = found[0] % np.uint64(parts) == np.uint64(part)
-                found = tuple(c[mine] for c in found)
-            for column, value in zip(columns, (*found, np.full(len(found[0]), number)), strict=True):
-                column.append(value)
-        h, of, begin, x, y, number = map(np.concatenate, columns)
-        del columns
-        order = np.argsort(h)
-        again = np.zeros(len(h), bool)
-        again[1:] = h[order][1:] == h[order][:-1]
-        again[:-1] |= again[1:]
-        order = order[again]
-        order = order[np.lexsort((begin[order], of[order], h[order]))]
-        if not len(order):
-            continue
-        h, of, begin, x, y, number = (c[order] for c in (h, of, begin, x, y, number))
-        if kept:
-            place = list(zip(number.tolist(), x.tolist(), y.tolist(), strict=True))
-            words = lambda i: kept[place[i][0]][place[i][1] : place[i][2]]
-        else:
-            held: list[bytes] = [b""] * len(h)
-            by_string = np.argsort(number, kind="stable")
-            last, text = -1, b""
-            for i in by_string.tolist():
-                if number[i] != last:
-                    last = int(number[i])
-                    text = unpack(packs[last][0])
-                held[i] = text[x[i] : y[i]]
-            words = held.__getitem__
-        new = np.append(True, h[1:] != h[:-1])
-        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-        differ, current = [], b""
-        for i, is_new in enumerate(new.tolist()):
-            if is_new:
-                current = words(i)
-            elif words(i) != current:
-                differ.append(i)
-        for g in set(lead[differ].tolist()):  # other texts with the same hash: tell the texts of this group apart
-            by: dict[bytes, int] = {}
-            for i in np.flatnonzero(lead == g).tolist():
-                lead[i] = by.setdefault(words(i), i)
-        late = (of != of[lead]) | (begin != begin[lead])
-        of, begin = of[late], begin[late].astype(np.int64)
-        o = np.lexsort((begin, of))
-        yield from _runs(begin[o], of[o], k)
+    kept = [unpack(p) for p, _ in packs]
+    columns: list[list] = [[], [], [], [], [], []]
+    for number, (text, (_, meta)) in enumerate(zip(kept, packs, strict=True)):
+        found = _windows(text, unpack(meta), k)
+        for column, value in zip(columns, (*found, np.full(len(found[0]), number)), strict=True):
+            column.append(value)
+    h, of, begin, x, y, number = map(np.concatenate, columns)
+    del columns
+    order = np.argsort(h)
+    again = np.zeros(len(h), bool)
+    again[1:] = h[order][1:] == h[order][:-1]
+    again[:-1] |= again[1:]
+    order = order[again]
+    order = order[np.lexsort((begin[order], of[order], h[order]))]
+    if not len(order):
+        return
+    h, of, begin, x, y, number = (c[order] for c in (h, of, begin, x, y, number))
+    place = list(zip(number.tolist(), x.tolist(), y.tolist(), strict=True))
+
+    def words(i: int) -> bytes:
+        return kept[place[i][0]][place[i][1] : place[i][2]]
+
+    new = np.append(True, h[1:] != h[:-1])
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+    differ, current = [], b""
+    for i, is_new in enumerate(new.tolist()):
+        if is_new:
+            current = words(i)
+        elif words(i) != current:
+            differ.append(i)
+    for g in set(lead[differ].tolist()):  # other texts with the same hash: tell the texts of this group apart
+        by: dict[bytes, int] = {}
+        for i in np.flatnonzero(lead == g).tolist():
+            lead[i] = by.setdefault(words(i), i)
+    late = (of != of[lead]) | (begin != begin[lead])
+    of, begin = of[late], begin[late].astype(np.int64)
+    o = np.lexsort((begin, of))
+    yield from _runs(begin[o], of[o], k)
+
+
+_SETTLED = "doc_id long, spans binary, hash binary, start int"
 
 
 def _settle(k: int):
-    def emit(rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Packed strings, sorted by bucket, to spans; of large buckets to single windows with their hash."""
+
+    def spans(rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         for x in range(0, len(rows), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[x : x + 10_000]], pa.int64()), pa.array([r[1] for r in rows[x : x + 10_000]], pa.binary())], ["doc_id", "spans"])
+            part = rows[x : x + 10_000]
+            none = pa.nulls(len(part))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.binary()), none.cast(pa.binary()), none.cast(pa.int32())], ["doc_id", "spans", "hash", "start"])
+
+    def windows(packs: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for packed, meta in packs:
+            text = unpack(packed)
+            _, of, begin, x, y = _windows(text, unpack(meta), k)
+            for i in range(0, len(of), 100_000):
+                part = slice(i, i + 100_000)
+                hashes = [xxhash.xxh3_128_digest(text[a:b]) for a, b in zip(x[part].tolist(), y[part].tolist(), strict=True)]
+                n = len(hashes)
+                yield pa.RecordBatch.from_arrays([pa.array(of[part], pa.int64()), pa.nulls(n).cast(pa.binary()), pa.array(hashes, pa.binary()), pa.array(begin[part].astype(np.int32))], ["doc_id", "spans", "hash", "start"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[bytes, bytes]] = []
-        size, current = 0, None
+        held: list[tuple[bytes, bytes]] = []  # whole buckets, and what there is of the current one
+        size, current, mine, large = 0, None, 0, False
         for batch in batches:
             passed = []
             for b, i, n, packed, meta in zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc_id", "size", "packed", "meta")), strict=True):
                 if packed is None:
                     passed.append((i, meta))
                     continue
-                if held and b != current and size >= LOAD_BYTES:
-                    yield from emit(list(_duplicates(held, k, max(1, -(-size // LOAD_BYTES)) if size > 4 * LOAD_BYTES else 1)))
-                    held, size = [], 0
-                current = b
+                if b != current:
+                    if held and size >= LOAD_BYTES:
+                        yield from spans(list(_duplicates(held, k)))
+                        held, size = [], 0
+                    current, mine, large = b, 0, False
+                mine += n
+                if large:
+                    yield from windows([(packed, meta)])
+                    continue
                 held.append((packed, meta))
                 size += n
-            yield from emit(passed)
+                if mine > BUCKET_MOST:
+                    # What is held of other buckets is below LOAD_BYTES; its windows go along.
+                    yield from windows(held)
+                    held, size, large = [], 0, True
+            yield from spans(passed)
         if held:
-            yield from emit(list(_duplicates(held, k, max(1, -(-size // LOAD_BYTES)) if size > 4 * LOAD_BYTES else 1)))
+            yield from spans(list(_duplicates(held, k)))
+
+    return run
+
+
+def _late(k: int):
+    """Of windows sorted by hash, document and start, all but the first of each hash; spans pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            ids, spans = [], []
+            for i, s, h, start in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "spans", "hash", "start")), strict=True):
+                if h is None:
+                    ids.append(i), spans.append(s)
+                    continue
+                if last is None or h != last[0]:
+                    last = (h, i, start)
+                elif (i, start) != last[1:]:
+                    ids.append(i), spans.append(np.array([start, start + k], "<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spans, pa.binary())], ["doc_id", "spans"])
 
     return run
 
@@ -319,13 +357,18 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, piece: int = PIECE) ->
     buckets = min(max(tasks, 8 * tasks if size is None else GROWTH * size // BUCKET_BYTES), 1 << 30)
     packed = rows.mapInArrow(_pack(buckets, window, piece), _PACKED)
     tasks = max(tasks, buckets // 8)
-    return packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(window), _SPANS).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
+    settled = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(window), _SETTLED)
+    late = settled.repartition(F.coalesce("hash", F.col("doc_id").cast("string").cast("binary"))).sortWithinPartitions("hash", "doc_id", "start").mapInArrow(_late(window), _SPANS)
+    return late.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, piece: int = PIECE) -> DataFrame:
     """doc_id, n_words, n_removed, kept (binary: the words that stay, joined by one space) for each row of docs(doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.join(repeated_spans(docs, window, piece), "doc_id", "left").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept binary")
+    # Rows without doc_id have no spans; in the join they would all meet in one task.
+    spans = rows.where("doc_id IS NOT NULL").join(repeated_spans(docs, window, piece), "doc_id", "left")
+    alone = rows.where("doc_id IS NULL").withColumn("spans", F.lit(None).cast("array<binary>"))
+    return spans.unionByName(alone).mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept binary")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
