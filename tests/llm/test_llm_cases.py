@@ -65,7 +65,7 @@ def test_near_duplicates_of_odd_rows(spark):
 
 def test_odd_pages(spark):
     schema = "page_id long, url string, html string, text string, n_chars string"
-    rows = [(1, None, None, "x", "y"), (2, "http://a/1", "", "x", "y"), (3, "http://a/2", "<p>a<p>b &amp; c", "x", "y"), (3, "http://a/2", "<p>a<p>b &amp; c", "x", "y"), (None, "http://a/3", "<div class='sidebar'>no</div>plain", "x", "y"), (5, "::", "<script>x</script><article><h1>T</h1>a\n b<br>c<form>f</form></article><footer>z", "x", "y")]
+    rows = [(1, None, None, "x", "y"), (2, "http://a/1", "", "x", "y"), (3, "http://a/2", "<p>a<p>b &amp; c", "x", "y"), (3, "http://a/2", "<p>a<p>b &amp; c", "x", "y"), (None, "http://a/3", "<aside>no</aside>plain", "x", "y"), (5, "::", "<script>x</script><article><h1>T</h1>a\n b<br>c<form>f</form></article><footer>z", "x", "y")]
     got = {r.page_id: r.text for r in html_extract.extract_pages(docs(spark, rows, schema)).collect()}
     assert got == {1: "", 2: "", 3: "a\n\nb & c", None: "plain", 5: "T\n\na b c"}
     assert html_extract.extract_pages(docs(spark, rows, schema).limit(0)).count() == 0
@@ -122,14 +122,22 @@ def test_long_runs_are_read_whole():
     assert language_id.Teller(told).tell(ends + "efgh" * 200 + ends)[0] == "y"
     model = toxicity.train([("fine words here", 0), ("fine stupidfool here", 1)] * 40)
     mild = "finewordshere" * 40
-    assert toxicity.document(model, subword.words_of(mild + "stupidfool" + mild)) > toxicity.document(model, subword.words_of(mild + mild)) + 0.5
+    assert toxicity.document(model, subword.words_of(mild + "stupidfool" + mild)) > toxicity.document(model, subword.words_of(mild + mild)) + 0.1
+
+
+def test_letters():
+    model = language_id.train([(f"{a} " * 30, y) for a, y in (("abcd", "x"), ("efgh", "y")) for _ in range(10)])
+    for t in (None, "", " \n", "²½①", "123 -- 4", "\u0301"):
+        assert language_id.Teller(model).tell(t) == ("und", 0.0, True) and language_id.Teller(None).tell(t) == ("und", 0.0, True)
+    for t in ("a", "1é2", "中", "ª"):
+        assert language_id.Teller(model).tell(t)[0] in "xy" and language_id.Teller(None).tell(t) == ("und", 0.0, False)
 
 
 def test_kept_out_texts_are_told_whole(monkeypatch):
     read = []
     words_of = language_id.words_of
     monkeypatch.setattr(language_id.Teller, "logits", lambda self, text, f=language_id.Teller.logits: read.append(len(words_of(text))) or f(self, text))
-    assert language_id.train([(f"{a} " * 1000, y) for a, y in (("abcd", "x"), ("efgh", "y")) for _ in range(20)]) and language_id.PER_TEXT == 400
+    assert language_id.train([(f"{a} " * 1000, y) for a, y in (("abcd", "x"), ("efgh", "y")) for _ in range(20)])
     assert read == [1000] * 8
 
 
@@ -162,6 +170,7 @@ def test_substrings_equal_brute_force(spark, monkeypatch):
     df = docs(spark, rows, "doc_id long, text string").repartition(5)
     for load, chunk in ((substring_dedup.LOAD_BYTES, substring_dedup.CHUNK_WORDS), (200, 300)):  # the second one takes several passes over each bucket
         monkeypatch.setattr(substring_dedup, "LOAD_BYTES", load)
+        monkeypatch.setattr(substring_dedup, "BUCKET_MOST", 4 * load)
         monkeypatch.setattr(substring_dedup, "CHUNK_WORDS", chunk)
         got = substring_dedup.dedup_substrings(df).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
         assert {r[0]: tuple(r[1:]) for r in got} == want
@@ -250,7 +259,8 @@ def test_long_chains_are_one_component(spark):
 
 def test_raking_meets_its_targets():
     cells = [(s, x, "t") for s in "ab" for x in "xyz"]
-    w = mixing.rake(cells, [5, 1, 3, 2, 2, 8], [{"a": 0.5, "b": 0.5}, {"x": 0.2, "y": 0.3, "z": 0.5}, {"t": 1.0}], 50)
+    w, miss = mixing.rake(cells, [5, 1, 3, 2, 2, 8], [{"a": 0.5, "b": 0.5}, {"x": 0.2, "y": 0.3, "z": 0.5}, {"t": 1.0}], 50, 100.0)
+    assert miss < 1e-6
     assert np.isclose(sum(w[:3]), 0.5) and np.isclose(w[0] + w[3], 0.2) and np.isclose(w[1] + w[4], 0.3)
 
 
