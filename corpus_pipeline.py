@@ -1,4 +1,10 @@
-"""A corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input."""
+"""A corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input.
+
+Defined cases: documents without text, or without a letter in it, go in the first stage, and if no document has a language all
+others stay there; rows with the same text stay once, under the smallest doc_id; rows that share a doc_id are one document to the
+second stage; rows without doc_id pass it, and the last two hash their id as "". An empty table gives an empty result with the
+same columns. Columns beyond those of documents are kept in all stages, but for one named shard, which the last one sets.
+"""
 
 from __future__ import annotations
 
@@ -49,11 +55,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents; what each returns is written to the shared folder and read again."""
+    """The stages applied to documents; what each returns is written to the shared folder, read again, and removed once it is used up."""
     docs = load(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            old = spark._jvm.org.apache.hadoop.fs.Path(before)
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        before = path
     return docs
