@@ -32,11 +32,11 @@ from palisade.llm.common import plan_bytes, shuffle_partitions, texts
 #: Words in a window, and words in the pieces among which a window's minimiser is sought.
 WINDOW, PIECE = 20, 4
 #: Words handled at a time by a map task; bytes that it gathers before it sends; packed bytes that a reduce task loads at a time.
-CHUNK_WORDS, SEND_BYTES, LOAD_BYTES = 300_000, 32 << 20, 12 << 20
+CHUNK_WORDS, SEND_BYTES, LOAD_BYTES = 300_000, 24 << 20, 8 << 20
 #: Bytes of a bucket that are settled at once; strings that a map task remembers.
-BUCKET_MOST, SEEN = 48 << 20, 100_000
+BUCKET_MOST, SEEN = 24 << 20, 100_000
 #: A bucket gets about so many packed bytes; the packed strings are about so many times the stored input.
-BUCKET_BYTES, GROWTH = 16 << 20, 6
+BUCKET_BYTES, GROWTH = 4 << 20, 6
 
 _PACKED = "bucket int, doc_id long, size long, packed binary, meta binary"
 _SPANS = "doc_id long, spans binary"
@@ -356,7 +356,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, piece: int = PIECE) ->
     tasks = shuffle_partitions(spark)
     buckets = min(max(tasks, 8 * tasks if size is None else GROWTH * size // BUCKET_BYTES), 1 << 30)
     packed = rows.mapInArrow(_pack(buckets, window, piece), _PACKED)
-    tasks = max(tasks, buckets // 8)
+    tasks = max(tasks, buckets // 32)
     settled = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(window), _SETTLED)
     late = settled.repartition(F.coalesce("hash", F.col("doc_id").cast("string").cast("binary"))).sortWithinPartitions("hash", "doc_id", "start").mapInArrow(_late(window), _SPANS)
     return late.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
