@@ -3,8 +3,8 @@
 The patterns are the distinct word windows of the benchmark. For each length among them: a shift table says for a block of
 two words (by a hash, equal ones sharing the smaller value) how far the search may skip, its smallest distance to the end of
 a pattern; where it may not skip, the hash of the block leads to the bucket of patterns that end so, a hash of the whole window
-to those in it that may be equal, and these are compared word for word. All tables are arrays: about 50 bytes for a word
-of the benchmark, 10 for each byte of its text.
+to those in it that may be equal, and these are compared word for word. But for the vocabulary all tables are arrays, of about 50
+bytes for a word of the benchmark.
 
 Size: a benchmark of at most BLOCK_BYTES of text is one block, whose tables are sent along with the one pass over the documents.
 A larger one is cut into blocks of about that size (a single item is never cut) and the documents are read once for each, so
@@ -21,10 +21,10 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +45,8 @@ _ODD = 0x9E3779B97F4A7C15
 
 
 def _rolled(h: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each k consecutive values of h."""
+    """A hash of each k consecutive numbers."""
+    h = h.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     n = len(h) - k + 1
     out = h[:n].copy()
     for i in range(1, k):
@@ -55,14 +56,10 @@ def _rolled(h: np.ndarray, k: int) -> np.ndarray:
     return out * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-
-
 class Table:
     """The patterns of one length: shift table, buckets by the hash of the last block, windows in them, owners of windows."""
 
-    def __init__(self, length: int, h: np.ndarray, starts: np.ndarray, items: np.ndarray, text) -> None:
+    def __init__(self, length: int, h: np.ndarray, starts: np.ndarray, items: np.ndarray) -> None:
         self.length, self.block = length, min(2, length)
         blocks = _rolled(h, self.block)
         bits = min(24, max(12, int(len(starts)).bit_length() + 4))
@@ -84,13 +81,16 @@ class Table:
                 first, seen = i, {}
                 number[i] = i
             else:
-                seen = seen or {text(at[first], length): first}
-                number[i] = seen.setdefault(text(at[i], length), i)
+                seen = seen or {h[at[first] : at[first] + length].tobytes(): first}
+                number[i] = seen.setdefault(h[at[i] : at[i] + length].tobytes(), i)
         order = np.lexsort((items, number))
         number, owners = number[order], items[order]
         new = np.append(True, number[1:] != number[:-1]) if len(number) else np.zeros(0, bool)
         places = number[new]
         self.suffix, self.whole, self.start = suffix[places], whole[places], starts[places].astype(np.int32)
+        # Which hashes of whole windows there are, by their first bits.
+        self.sifted = np.zeros(1 << bits, bool)
+        self.sifted[(self.whole >> self.down).astype(np.int64)] = True
         self.owners, self.cuts = owners, np.append(np.flatnonzero(new), len(owners)).astype(np.int32)
         new = np.append(True, self.suffix[1:] != self.suffix[:-1]) if len(places) else np.zeros(0, bool)
         self.buckets, self.ranges = self.suffix[new], np.append(np.flatnonzero(new), len(places)).astype(np.int32)
@@ -110,38 +110,31 @@ class Table:
 
 
 class Patterns:
-    """The tables for one block of items."""
+    """The tables for one block of items. Words are numbers of the block's vocabulary, 0 for all others, so equal numbers are equal words."""
 
     def __init__(self, items: list[tuple[str | None, bytes]], window: int) -> None:
         self.items = sorted({i for i, _ in items if i is not None})
         number = {x: k for k, x in enumerate(self.items)} | {None: -1}
-        flat: list[bytes] = []
+        self.known: dict[bytes, int] = {}
+        flat: list[np.ndarray] = []
         starts: dict[int, list[np.ndarray]] = {}
         of: dict[int, list[np.ndarray]] = {}
+        n = 0
         for item, text in items:
-            words = item_words(text)
-            if words:
-                m = min(window, len(words))
-                found = np.arange(len(flat), len(flat) + len(words) - m + 1)
-                starts.setdefault(m, []).append(found)
-                of.setdefault(m, []).append(np.full(len(found), number[item], np.int32))
-                flat += words
-        h = _hashes(flat)
-        lengths = np.fromiter(map(len, flat), np.int64, len(flat))
-        ends = np.cumsum(lengths + 1) - 1
-        wide = np.int32 if not len(ends) or ends[-1] < 1 << 31 else np.int64
-        self.ends, self.begins = ends.astype(wide), (ends - lengths).astype(wide)
-        self.text = b" ".join(flat)
-        self.tables = [Table(m, h, np.concatenate(starts[m]), np.concatenate(of[m]), self.window) for m in sorted(starts)]
-
-    def window(self, start: int, length: int) -> bytes:
-        """Words of the benchmark, joined."""
-        return self.text[self.begins[start] : self.ends[start + length - 1]]
+            ids = np.array([self.known.setdefault(w, len(self.known) + 1) for w in item_words(text)], np.int32)
+            if len(ids):
+                m = min(window, len(ids))
+                starts.setdefault(m, []).append(np.arange(n, n + len(ids) - m + 1))
+                of.setdefault(m, []).append(np.full(len(ids) - m + 1, number[item], np.int32))
+                flat.append(ids)
+                n += len(ids)
+        self.flat = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+        self.tables = [Table(m, self.flat, np.concatenate(starts[m]), np.concatenate(of[m])) for m in sorted(starts)]
 
     def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Spans of the occurrences, and the ids of the items that have one."""
         spans, items = [], set()
-        h = _hashes(words)
+        h = np.fromiter(map(self.known.get, words, repeat(0)), np.int32, len(words))
         blocks = {k: _rolled(h, k) for k in {t.block for t in self.tables} if len(h) >= k}
         for t in self.tables:
             m = t.length
@@ -152,16 +145,16 @@ class Patterns:
                 continue
             last = blocks[t.block][places + m - t.block]
             bucket = np.minimum(np.searchsorted(t.buckets, last), len(t.buckets) - 1)
-            places, bucket = places[t.buckets[bucket] == last], bucket[t.buckets[bucket] == last]
-            for at, k in zip(places.tolist(), bucket.tolist(), strict=True):
+            hit = t.buckets[bucket] == last
+            places, bucket = places[hit], bucket[hit]
+            wholes = _rolled(h[places[:, None] + np.arange(m)].T, m)[0]
+            maybe = t.sifted[(wholes >> t.down).astype(np.int64)]
+            for at, k, whole in zip(places[maybe].tolist(), bucket[maybe].tolist(), wholes[maybe], strict=True):
                 a, b = t.ranges[k], t.ranges[k + 1]
-                whole = _rolled(h[at : at + m], m)[0]
-                at_text = None
                 for p in range(a + np.searchsorted(t.whole[a:b], whole), b):
                     if t.whole[p] != whole:
                         break
-                    at_text = at_text or b" ".join(words[at : at + m])
-                    if self.window(t.start[p], m) == at_text:
+                    if np.array_equal(self.flat[t.start[p] : t.start[p] + m], h[at : at + m]):
                         spans.append((at, at + m))
                         items.update(t.owners[t.cuts[p] : t.cuts[p + 1]].tolist())
         return spans, {self.items[k] for k in items if k >= 0}
