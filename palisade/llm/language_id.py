@@ -28,7 +28,7 @@ from palisade.llm.common import carried, extended, fold, load, passed, training_
 from palisade.llm.subword import BUCKETS, GRAMS, PART, WIDTH, Bags, grams, softmax, words_of
 
 PER_CLASS, MOST, FOLDS, HELD_OUT = 500, 10_000, 4, 2
-ROUNDS, BATCH, RATE, CACHE = 6, 32, 8.0, 400_000
+ROUNDS, BATCH, RATE, CACHE = 6, 32, 8.0, 100_000
 #: Share of rightly told texts that the threshold may reject, and its highest value.
 REJECT, CEILING = 0.001, 0.5
 
@@ -112,7 +112,7 @@ class Teller:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.sums = np.zeros((1024, WIDTH + 1))
+        self.sums = np.zeros((1024, WIDTH + 1), np.float32)
 
     def logits(self, text: str) -> np.ndarray:
         """The scores of the languages for a whole text, before the temperature."""
@@ -130,7 +130,7 @@ class Teller:
                 total, n = self.model.word(w)
                 self.sums[k, :-1], self.sums[k, -1] = total, n
             at.append(k)
-        total = self.sums[at].sum(0) + apart
+        total = self.sums[at].sum(0, dtype=np.float64) + apart
         if len(self.known) > CACHE:
             self.clear()
         return (total[:-1] / (total[-1] or 1.0)) @ self.model.soft + self.model.bias

@@ -28,7 +28,7 @@ from palisade.llm.subword import PART, Adam, Bags, grams, words_of
 #: Labelled rows of each label at most; held-out fold.
 PER_CLASS, FOLDS, HELD_OUT = 2500, 5, 0
 LENGTHS, BUCKETS, WIDTH = (3, 4, 5), 1 << 17, 4
-ROUNDS, RATE, DECAY, CACHE = 150, 0.08, 2e-6, 400_000
+ROUNDS, RATE, DECAY, CACHE = 150, 0.08, 2e-6, 100_000
 #: One of so many labelled rows is kept out to fit the logistic curve.
 KEPT_OUT = 8
 #: What toxic texts weigh together when the curve is fitted; the others weigh the rest.
