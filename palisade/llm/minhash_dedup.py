@@ -7,12 +7,13 @@
 3. Each member of a bucket is linked to its HUBS hubs only (the smallest doc_id, then others by hashes), so a
    bucket of n members makes fewer than HUBS * n candidate edges; a text has a hub in each of its up to BANDS buckets. Edges
    whose parity sketches differ too much for the threshold are left out, the rest is confirmed on the full sets, and gives components.
-4. What the stars leave: texts of buckets in which there are different components afterwards. A link between two of them needs
-   shared shingles, and both tests here are exact. A text with more than n - LEAST(n) shingles that no other such text has is
-   linked with none of them, where LEAST(n) is the fewest that n shingles and any others can share at the threshold; such
-   texts go, by rounds, as their going leaves others alone. Of the rest only texts are compared that have one of their n - LEAST(n) + 1
-   rarest shingles in common, under the test of sketches. Pairs that pass are confirmed on the full sets, so no
-   link is lost to the choice of hubs. Texts that were edited apart share frequent shingles only, and make no pairs.
+4. What the stars leave: texts of buckets in which there are different components afterwards. A shingle that no other such
+   text has is in no intersection with one; with u such shingles of n in each text the similarity of two is at most
+   min(n - u) / (u + u' + max(n - u)). Texts that can reach the threshold with none go. In each bucket the text with the smallest
+   share of such shingles, the one that most was copied from, is a second hub: the others are linked to it as before.
+5. Members of a bucket that even then are in different components are compared with each other under two exact tests, that of
+   sketches and the bound above; a pair is taken in the smallest key that its bands share, so once. Pairs that pass are confirmed
+   on the full sets, so no link is lost to the choice of hubs. Texts that were edited apart fail the tests at once.
 
 Hot keys (a bucket, or a group of copies, of more than a small part of all rows) are joined by broadcast, so that their rows stay
 where they are; everything else about a bucket is aggregated before it is shuffled.
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.common import LOWER, checkpointed, joined_by_size, load, texts
@@ -48,8 +49,6 @@ BANDS = BANDED // ROWS
 SKETCH = 1024
 WORDS = SKETCH // 64
 HUBS = 1
-#: Rounds in which texts that are alone are let go before the rest is compared; more would only save comparisons.
-PEEL_ROUNDS = 4
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -221,37 +220,47 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     links = confirmed(edges)
     labels = connected(links)
     at = open_.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
-    mixed = at.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size")
-    apart = checkpointed(joined_by_size(at, mixed, "key").select("rep", "label").distinct())
+    apart = checkpointed(_mixed(checkpointed(at)))
     if not apart.isEmpty():
-        found = confirmed(sifted(_rare_pairs(apart, classes, hashes, percent)))
+        own = _unshared(hashes, apart)
+        facts = classes.select("rep", "n", "sketch", "bands").join(apart.select("rep").distinct(), "rep", "left_semi").join(own, "rep", "left").withColumn("u", F.coalesce("u", F.lit(0))).withColumn("rest", F.col("n") - F.col("u"))
+        facts = checkpointed(facts.where(F.lit(100) * F.col("rest") >= F.lit(percent) * F.col("n")))
+        sides = checkpointed(apart.join(facts.select("rep", "n", "u"), "rep"))
+        central = sides.groupBy("key").agg(F.min_by("rep", F.struct(F.col("u") / F.col("n"), F.col("rep"))).alias("hub"), F.count("*").alias("size"))
+        second = joined_by_size(sides.select("rep", "label", "key"), checkpointed(central), "key").where("rep <> hub")
+        at_hub = apart.select(F.col("rep").alias("hub"), F.col("label").alias("hub_label")).distinct()
+        second = second.select("rep", "label", "hub").distinct().join(at_hub, "hub").where("label <> hub_label")
+        found = confirmed(sifted(second.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()))
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = connected(links)
+            sides = sides.drop("label").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
+        still = checkpointed(_mixed(sides.select("key", "rep", "label")))
+        sides = checkpointed(still.join(facts, "rep"))
+        m, o = sides.alias("m"), sides.alias("o")
+        possible = F.lit(100) * F.least("m.rest", "o.rest") >= F.lit(percent) * (F.col("m.u") + F.col("o.u") + F.greatest("m.rest", "o.rest"))
+        first = F.array_min(F.array_intersect("m.bands", "o.bands")) == F.col("m.key")
+        alike = _alike(F.col("m.sketch"), F.col("o.sketch"), F.col("m.n") + F.col("o.n"), percent)
+        pairs = m.join(o, (F.col("m.key") == F.col("o.key")) & (F.col("m.rep") < F.col("o.rep")) & (F.col("m.label") != F.col("o.label")) & possible & alike & first)
+        found = confirmed(pairs.select(F.col("m.rep").alias("a"), F.col("o.rep").alias("b")).distinct())
         if not found.isEmpty():
             labels = connected(links.unionByName(found))
-    named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", "size", F.coalesce("component", "rep").alias("component_id"))
+    named = checkpointed(classes.select("digest", "size", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", "size", F.coalesce("component", "rep").alias("component_id")))
     full = joined_by_size(signed.where("digest IS NOT NULL").select("doc_id", "n_shingles", "digest"), named, "digest").select("doc_id", "n_shingles", "component_id")
     empty = signed.where("digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.unionByName(empty).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _rare_pairs(apart: DataFrame, classes: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of texts with different labels that share one of their rarest shingles, so many that no link is left out."""
-    # A link of n shingles with others shares at least ceil(percent * n / 100), as the union has at least n.
-    left = classes.select("rep", "n").join(apart, "rep").withColumn("most", F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100))
-    owned = checkpointed(hashes.join(left.select("rep"), "rep", "left_semi").mapInArrow(_single, "rep long, hash long"))
-    for _ in range(PEEL_ROUNDS):
-        counts = owned.groupBy("hash").agg(F.count("*").alias("c"), F.min("rep").alias("rep"))
-        alone = counts.where("c = 1").groupBy("rep").agg(F.count("*").alias("u"))
-        lost = checkpointed(alone.join(left.select("rep", "most"), "rep").where("u > most").select("rep"))
-        if lost.isEmpty():
-            break
-        left = checkpointed(left.join(lost, "rep", "left_anti"))
-        owned = checkpointed(owned.join(lost, "rep", "left_anti"))
-    counts = checkpointed(owned.groupBy("hash").agg(F.count("*").alias("size")))
-    rank = F.row_number().over(Window.partitionBy("rep").orderBy("size", "hash"))
-    rare = joined_by_size(owned, counts, "hash").withColumn("rank", rank).join(left, "rep").where("rank <= most + 1 AND size > 1").select("rep", "label", "n", "hash")
-    a, b = (rare.select(F.col("rep").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}"), "hash") for x in "ab")
-    near = F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
-    return a.join(b, "hash").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & near).select("a", "b").distinct()
+def _mixed(members: DataFrame) -> DataFrame:
+    """key, rep, label of buckets with different labels."""
+    mixed = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size")
+    return joined_by_size(members, checkpointed(mixed), "key").select("key", "rep", "label")
+
+
+def _unshared(hashes: DataFrame, apart: DataFrame) -> DataFrame:
+    """rep, u: how many shingles of each text no other text of apart has."""
+    owned = hashes.join(apart.select("rep").distinct(), "rep", "left_semi").mapInArrow(_single, "rep long, hash long")
+    return owned.groupBy("hash").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).where("c = 1").groupBy("rep").agg(F.count("*").alias("u"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
