@@ -33,21 +33,50 @@ def project_hint(content: Column) -> Column:
     return F.when(found != "", found)
 
 
+# What is said of each class.
+TITLES = {
+    "publishable_new": "Supabase publishable key found",
+    "secret_new": "Supabase secret key exposed",
+    "anon_legacy": "Supabase legacy anon key found",
+    "service_role_legacy": "Supabase legacy service_role key exposed",
+    "unknown": "Supabase-shaped key requires review",
+}
+DETAILS = {
+    "publishable_new": "A new-format Supabase publishable key was found. This key is low privilege by itself and must be evaluated together with RLS exposure.",
+    "secret_new": "A new-format Supabase secret key was found. Secret keys are elevated credentials and bypass RLS.",
+    "anon_legacy": "A legacy Supabase anon JWT was found. This key is low privilege by itself and must be evaluated together with RLS exposure.",
+    "service_role_legacy": "A legacy Supabase service_role JWT was found. Service role keys are elevated credentials and bypass RLS.",
+    "unknown": "The value matched a Supabase-shaped rule but could not be classified as a known Supabase key class.",
+}
+NO_ROLE = "Supabase-shaped JWT has no recognized Supabase role"
+_KEEP = "Keep the public key client-side only if RLS policies are correct. Enable network probing later to verify table exposure."
+_ROTATE = "Rotate the key immediately, remove it from the repository, and rewrite git history if the key was committed."
+REMEDIATIONS = {
+    "publishable_new": _KEEP,
+    "secret_new": _ROTATE,
+    "anon_legacy": _KEEP,
+    "service_role_legacy": _ROTATE,
+    "unknown": "Review the value and remove it if it is a real Supabase credential.",
+}
+
+
 def classified(raw: Column, hint: Column) -> Column:
-    """struct(key_class, severity, confidence, project_url) of a raw key; hint is the project named beside it."""
+    """struct(key_class, severity, confidence, project_url, detail) of a raw key; hint is the project named beside it."""
     payload = claims(raw)
     issuer, role, ref = claim(payload, "iss"), claim(payload, "role"), claim(payload, "ref")
     known = F.coalesce((F.lower(issuer) == "supabase") | F.contains(F.lower(issuer), F.lit(f".{DOMAIN}")), F.lit(False))
     own = F.when(ref.isNotNull(), F.concat(F.lit("https://"), ref, F.lit(f".{DOMAIN}")))
     none = F.lit(None).cast("string")
 
-    def row(key_class: str, severity: str, confidence: str, project: Column) -> Column:
-        return F.struct(F.lit(key_class).alias("key_class"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence"), project.alias("project_url"))
+    def row(key_class: str, severity: str, confidence: str, project: Column, detail: str | None = None) -> Column:
+        said = F.lit(detail or DETAILS[key_class]).alias("detail")
+        return F.struct(F.lit(key_class).alias("key_class"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence"), project.alias("project_url"), said)
 
     return (
         F.when(raw.startswith(PUBLISHABLE), row("publishable_new", "info", "likely", hint))
         .when(raw.startswith(SECRET), row("secret_new", "critical", "likely", hint))
         .when(known & (role == "anon"), row("anon_legacy", "info", "likely", own))
         .when(known & (role == "service_role"), row("service_role_legacy", "critical", "likely", own))
+        .when(known, row("unknown", "low", "review", none, NO_ROLE))
         .otherwise(row("unknown", "low", "review", none))
     )

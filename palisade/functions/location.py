@@ -15,12 +15,21 @@ GROUPS = "apps|packages|services"
 _BARE_API = rf"(^api(/|$))|((^|/)({GROUPS})/([^/]+/)?api(/|$))"
 _SRC_API = rf"(^src/api(/|$))|((^|/)({GROUPS})/[^/]+/src/api(/|$))"
 _SERVER_TEXT = r"""(?s)["']use server["']"""
-_SERVER_MODULE = r"""(?s)(?<![A-Za-z0-9_$])(?:from\s*|import\s*\(?\s*|require\s*\(\s*)(?:"(?:next/server|node:[^"]*)"|'(?:next/server|node:[^']*)')"""
+#: What stands before a quoted text, and the text: quotes pair up from the start of the file, a backslash takes what follows.
+_QUOTED = r"""(?s)\G([^"']*+)("[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+')"""
+_IMPORTS = r"(?:^|[^A-Za-z0-9_$])(?:(?:from|import)\s*|(?:import|require)\s*\(\s*)\z"
 
 
 def server_signal(content: Column) -> Column:
     """A "use server" directive, or an import of next/server or a node: module."""
-    return F.coalesce(content.rlike(_SERVER_TEXT) | content.rlike(_SERVER_MODULE), F.lit(False))
+
+    def named(q: Column) -> Column:
+        value = F.substring(q["text"], 2, F.length(q["text"]) - 2)
+        return q["before"].rlike(_IMPORTS) & ((value == "next/server") | value.startswith("node:"))
+
+    quoted = F.arrays_zip(F.regexp_extract_all(content, F.lit(_QUOTED), F.lit(1)).alias("before"), F.regexp_extract_all(content, F.lit(_QUOTED), F.lit(2)).alias("text"))
+    maybe = F.contains(content, F.lit("next/server")) | F.contains(content, F.lit("node:"))
+    return F.coalesce(content.rlike(_SERVER_TEXT) | (maybe & F.exists(quoted, named)), F.lit(False))
 
 
 def location_class(path: Column, content: Column) -> Column:

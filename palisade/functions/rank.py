@@ -6,8 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SEVERITIES = {"critical": 5, "high": 4, "medium": 3, "low": 2, "info": 1}
-CATEGORIES = ["secret_exposure", "supabase_key", "rls", "dependency_integrity", "correlation"]
+CATEGORIES = ["secret_exposure", "key_classification", "rls", "dependency_integrity", "correlation"]
 LOCATION_CLASSES = {"unknown": 0, "server_only": 1, "client_reachable": 2}
+# Names as they enter ids and texts.
+KEY_CLASS_NAMES = {"publishable_new": "PublishableNew", "secret_new": "SecretNew", "anon_legacy": "AnonLegacy", "service_role_legacy": "ServiceRoleLegacy", "unknown": "Unknown"}
+EXPOSURE_NAMES = {"exposed": "Exposed", "rls_disabled": "RlsDisabled", "permissive_policy": "PermissivePolicy", "missing_operation_policy": "MissingOperationPolicy", "inferred_write_exposure": "InferredWriteExposure"}
+ECOSYSTEM_NAMES = {"npm": "Npm", "pypi": "PyPi"}
+REASON_NAMES = {"invalid_package_name": "InvalidPackageName", "empty_version_specifier": "EmptyVersionSpecifier", "known_malicious": "KnownMalicious", "nonexistent_package": "NonexistentPackage"}
 
 
 def mapped(c: Column, values: dict, otherwise=None) -> Column:

@@ -15,8 +15,7 @@ def ascii_lower(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """The lines of a text: cut at \\n, without one \\r before it, and without an empty last line."""
-    parts = F.split(c, "\r?\n")
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(c, r"\r?\n\z", ""), r"\r?\n"))
 
 
 def entropy(c: Column) -> Column:

@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palisade.functions.rank import KEY_CLASS_NAMES, mapped
 from palisade.functions.text import stable_id
+from palisade.operators.findings import finding, key_evidence, secret_evidence, sorted_places
 
 BASE = ("category", "rule_or_class", "fingerprint", "severity")
 
 
 def coalesced(findings: DataFrame) -> DataFrame:
-    """One row for each secret and project, with id, united locations and no related ids.
+    """One row for each secret and project, in the form of findings, with united locations and no related ids.
 
     Rows are grouped by category, rule or class, fingerprint and severity. Where a group knows exactly one project, rows
-    without one join it; otherwise there is a row for each project and one for those without. Findings are read once and
+    without one join it; otherwise there is a row for each project and one for those without. The member with the smallest id
+    of its own gives the texts. Findings are read once and
     combined by group and project before the shuffle; projects are reconciled among the few rows that are left of a group.
     """
-    head = F.struct("own_id", "rule_id", "confidence", "redacted", "key_class")
+    head = F.struct("own_id", "rule_id", "confidence", "redacted", "key_class", "title", "detail", "remediation")
     each = findings.groupBy(*BASE, "project_url").agg(F.min(head).alias("head"), F.flatten(F.collect_set("locations")).alias("locations"))
     group = Window.partitionBy(*BASE)
     low, high = F.min("project_url").over(group), F.max("project_url").over(group)
@@ -25,7 +28,7 @@ def coalesced(findings: DataFrame) -> DataFrame:
     out = each.groupBy(*BASE, "project_url").agg(F.min("head").alias("head"), F.flatten(F.collect_list("locations")).alias("locations"))
     prefix = F.when(F.col("rule_or_class").startswith("supabase-key:"), F.lit("supabase-key")).otherwise(F.lit("secret"))
     identity = stable_id(prefix, F.col("category"), F.col("rule_or_class"), F.col("fingerprint"), F.coalesce("project_url", F.lit("<none>")), F.col("severity"))
-    return out.select(
-        identity.alias("id"), "category", "severity", "head.confidence", "head.rule_id", "fingerprint", "head.redacted", "head.key_class", "project_url", F.array_sort(F.array_distinct("locations")).alias("locations"),
-        F.lit(None).cast("string").alias("table"), F.lit(None).cast("string").alias("exposure"), F.array().cast("array<string>").alias("related"),
-    )
+    redacted, mark, project = F.col("head.redacted"), F.col("fingerprint"), F.col("project_url")
+    evidence = F.when(F.col("head.key_class").isNotNull(), key_evidence(mapped(F.col("head.key_class"), KEY_CLASS_NAMES), redacted, project, mark)).otherwise(secret_evidence(redacted, mark))
+    same = {x: F.col(f"head.{x}") for x in ("confidence", "rule_id", "title", "detail", "remediation", "redacted", "key_class")}
+    return finding(out, id=identity, category=F.col("category"), severity=F.col("severity"), evidence=evidence, fingerprint=mark, project_url=project, locations=sorted_places(F.col("locations")), **same)
