@@ -9,21 +9,21 @@ from pyspark.sql import functions as F
 
 from palisade.functions.keys import project_hint
 from palisade.functions.rules import DEFAULT, Allowlist, Rule, Ruleset, java_pattern
-from palisade.functions.text import ascii_lower, entropy, lines
+from palisade.functions.text import entropy, lines
 
 
 def _any(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
-def _matches(rule: Rule, line: Column, lower: Column, minified: int) -> Column:
-    """array<struct<whole, raw>> of a rule on a line; null where the rule does not apply."""
-    pattern = F.lit(java_pattern(rule.regex))
-    found = F.transform(F.arrays_zip(F.regexp_extract_all(line, pattern, F.lit(0)).alias("whole"), F.regexp_extract_all(line, pattern, F.lit(rule.secret_group)).alias("raw")), lambda x: F.struct(x["whole"].alias("whole"), x["raw"].alias("raw")))
-    applies = _any([F.contains(lower, F.lit(k)) for k in rule.keywords]) if rule.keywords else F.lit(True)
-    if rule.kind == "generic_high_entropy":
-        applies = applies & (F.octet_length(line) <= minified)
-    return F.when(applies, found)
+def _holds(text: Column, words) -> Column:
+    """Whether a text holds any of the words, A-Z and a-z being the same: one pass of one pattern, without a lower-case copy."""
+    quoted = "|".join(rf"\Q{w}\E" for w in sorted(words))
+    return text.rlike(f"(?i)(?:{quoted})")
+
+
+#: Marks both ends of a match in a line; taken out of lines before.
+_MARK = "\uf8ff"
 
 
 def _listed(a: Allowlist, line: Column, raw: Column, location: Column) -> Column:
@@ -36,27 +36,39 @@ def _listed(a: Allowlist, line: Column, raw: Column, location: Column) -> Column
 def detect(units: DataFrame, ruleset: Ruleset = DEFAULT) -> DataFrame:
     """content_id, hint, rule_id, kind, line_no, col_start, col_end, raw, entropy, locations; one row for each match that some location keeps.
 
-    units has content_id, content and locations; hint is the project that the unit names, found before its lines are cut. Lines that no keyword of any rule is in are dropped before any pattern
-    runs; entropy is computed for matches only. raw is for internal use: take findings() for output.
+    units has content_id, content and locations; hint is the project that the unit names, found before its lines are cut. Units, and
+    then lines, that no keyword of any rule is in are dropped before any other pattern runs; entropy is computed for matches only. Of
+    a match the first occurrence of its group is its place. raw is for internal use: take findings_of() for output.
     """
-    rows = units.where(F.is_valid_utf8("content")).select("content_id", "locations", project_hint(F.col("content")).alias("hint"), F.posexplode(lines(F.col("content"))).alias("at", "line")).withColumn("lower", ascii_lower(F.col("line")))
-    if all(r.keywords for r in ruleset.rules):
-        rows = rows.where(_any([F.contains("lower", F.lit(k)) for k in sorted({k for r in ruleset.rules for k in r.keywords})]))
+    words = {k for r in ruleset.rules for k in r.keywords}
+    all_have = all(r.keywords for r in ruleset.rules)
+    rows = units.where(F.is_valid_utf8("content"))
+    if all_have:
+        rows = rows.where(_holds(F.col("content"), words))
+    # Generators are outer ones: for others the optimizer adds a filter that computes their arrays a second time.
+    rows = rows.select("content_id", "locations", project_hint(F.col("content")).alias("hint"), F.posexplode_outer(lines(F.col("content"))).alias("at", "line"))
+    rows = rows.where(_holds(F.col("line"), words) if all_have else F.col("line").isNotNull())
     if ruleset.allow_marker:
         rows = rows.where(~F.contains("line", F.lit(ruleset.allow_marker)))
-    hits = F.array(*(F.struct(F.lit(i).alias("rule"), _matches(r, F.col("line"), F.col("lower"), ruleset.max_minified_line).alias("found")) for i, r in enumerate(ruleset.rules)))
-    rows = rows.select("content_id", "hint", "locations", "line", (F.col("at") + 1).alias("line_no"), F.explode(F.filter(hits, lambda h: F.size(h["found"]) > 0)).alias("hit"))
-
-    # Places of the matches: each is sought from the end of the one before, in code points.
-    def place(state: Column, m: Column) -> Column:
-        begin = F.call_function("locate", m["whole"], F.col("line"), state["next"])
-        start = begin + F.call_function("locate", m["raw"], m["whole"]) - 1
-        after = begin + F.length(m["whole"])
-        return F.struct(F.greatest(after, state["next"] + 1).alias("next"), F.concat(state["out"], F.array(F.struct(m["raw"].alias("raw"), start.alias("col_start"), (start + F.length(m["raw"])).alias("col_end")))).alias("out"))
-
-    empty = F.struct(F.lit(1).alias("next"), F.lit([]).cast("array<struct<raw:string,col_start:int,col_end:int>>").alias("out"))
-    placed = F.aggregate(F.col("hit.found"), empty, place, lambda s: s["out"])
-    rows = rows.select("content_id", "hint", "locations", "line", "line_no", F.col("hit.rule").alias("rule"), F.explode(placed).alias("m")).select("*", "m.*").drop("m")
+    line = F.replace(F.col("line"), F.lit(_MARK), F.lit("\ufffd"))
+
+    def hits(r: Rule) -> Column:
+        applies = _holds(F.col("line"), r.keywords) if r.keywords else F.lit(True)
+        if r.kind == "generic_high_entropy":
+            applies = applies & (F.octet_length("line") <= ruleset.max_minified_line)
+        return F.when(applies, F.regexp_extract_all(line, F.lit(java_pattern(r.regex)), F.lit(r.secret_group)))
+
+    found = F.explode_outer(F.array(*(F.struct(F.lit(i).alias("rule"), hits(r).alias("raws")) for i, r in enumerate(ruleset.rules)))).alias("hit")
+    rows = rows.select("content_id", "hint", "locations", line.alias("line"), (F.col("at") + 1).alias("line_no"), found).where(F.size("hit.raws") > 0)
+
+    # The line with both ends of each match marked, so that what stands before, and anchors, count as they do for the match itself.
+    marked = F.lit(None).cast("string")
+    for i, r in enumerate(ruleset.rules):
+        marked = F.when(F.col("hit.rule") == i, F.regexp_replace("line", java_pattern(r.regex), f"{_MARK}$0{_MARK}")).otherwise(marked)
+    rows = rows.select("content_id", "hint", "locations", "line", "line_no", F.col("hit.rule").alias("rule"), F.split(marked, _MARK).alias("pieces"), F.posexplode_outer("hit.raws").alias("nth", "raw"))
+    before = F.aggregate(F.slice("pieces", 1, 2 * F.col("nth") + 1), F.lit(0), lambda n, x: n + F.length(x))
+    start = (before + F.call_function("locate", F.col("raw"), F.get("pieces", 2 * F.col("nth") + 1))).cast("int")
+    rows = rows.select("content_id", "hint", "locations", "line", "line_no", "rule", "raw", start.alias("col_start")).withColumn("col_end", F.col("col_start") + F.length("raw"))
     rows = rows.withColumn("entropy", entropy(F.col("raw")))
     line, raw = F.col("line"), F.col("raw")
     threshold, kept = F.lit(None).cast("double"), F.lit(None)

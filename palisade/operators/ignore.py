@@ -85,11 +85,40 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keep, pa.string())], ["path"])
 
 
-def ignored_paths(files: DataFrame) -> DataFrame:
-    """The distinct paths of files(path, content, prov_kind) that the ignore files of the working tree leave out."""
+#: Bytes of ignore files up to which they are sent to all tasks as they are.
+SENT_BYTES = 32 << 20
+
+
+def _judge_with(found: list[tuple[str, int, str]]):
+    by_folder: dict[str, list[tuple[str, int, str]]] = {}
+    for row in found:
+        by_folder.setdefault(row[0], []).append(row)
+
+    def above(path: str) -> list[tuple[str, int, str]]:
+        ends = [0, *(m.start() for m in re.finditer("/", path))]
+        return [row for e in ends for row in by_folder.get(path[:e], ())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([p for p in batch.column("path").to_pylist() if is_ignored(p, above(p))], pa.string())], ["path"])
+
+    return run
+
+
+def ignored_paths(files: DataFrame, sent_bytes: int = SENT_BYTES) -> DataFrame:
+    """The distinct paths of files(path, content, prov_kind) that the ignore files of the working tree leave out.
+
+    The ignore files are few and small, as a rule: up to so many bytes of them, which are counted first, go to every task. Beyond, each is
+    joined to the paths below its folder.
+    """
     name, folder = F.regexp_extract("path", "[^/]*$", 0), F.regexp_replace("path", "/?[^/]*$", "")
-    rules = files.where((F.col("prov_kind") == "working_tree") & name.isin(*NAMES)).select(folder.alias("folder"), (F.array_position(F.array(*map(F.lit, NAMES)), name) - 1).cast("int").alias("place"), "content")
+    own = files.where((F.col("prov_kind") == "working_tree") & name.isin(*NAMES) & F.is_valid_utf8("content"))
+    rules = own.select(folder.alias("folder"), (F.array_position(F.array(*map(F.lit, NAMES)), name) - 1).cast("int").alias("place"), "content").distinct()
+    paths = files.select("path").where("path IS NOT NULL").distinct()
+    size = rules.agg(F.sum(F.octet_length("content") + F.octet_length("folder"))).first()[0] or 0
+    if size <= sent_bytes:
+        return paths.mapInArrow(_judge_with([tuple(r) for r in rules.collect()]), "path string")
     parts = F.split("path", "/")
     folders = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    above = files.select("path").where("path IS NOT NULL").distinct().select("path", F.explode(folders).alias("folder")).join(rules, "folder")
+    above = paths.select("path", F.explode(folders).alias("folder")).join(rules, "folder")
     return above.groupBy("path").agg(F.collect_list(F.struct("folder", "place", "content")).alias("above")).mapInArrow(_judge, "path string")

@@ -47,18 +47,31 @@ def scannable(files: DataFrame, max_bytes: int = 4 << 20, config_skip: tuple[str
     return files.where(should_scan(F.col("path"), config_skip, ignored) & (F.octet_length("content") <= max_bytes) & ~F.contains("content", F.lit("\0")))
 
 
+def skipped(files: DataFrame, max_bytes: int = 4 << 20, config_skip: tuple[str, ...] = (), ignored: Column | None = None) -> DataFrame:
+    """kind, message of the files that scannable() leaves out for their size or for a NUL; each once."""
+    rows = files.where(should_scan(F.col("path"), config_skip, ignored))
+    large = F.octet_length("content") > max_bytes
+    kind = F.when(large, "large_file_skipped").when(F.contains("content", F.lit("\0")), "binary_file_skipped")
+    size = F.octet_length("content").cast("string")
+    message = F.when(large, F.concat(F.lit("large file skipped: "), "path", F.lit(" ("), size, F.lit(" bytes)"))).otherwise(F.concat(F.lit("binary file skipped: "), "path"))
+    return rows.select(kind.alias("kind"), message.alias("message")).where("kind IS NOT NULL").distinct()
+
+
 def collect_units(files: DataFrame) -> DataFrame:
     """content_id, content, locations from files(path, content, prov_kind, sha, author, date).
 
-    The same content at any number of paths and commits is one unit. Hashes are grouped without the text: locations are
-    aggregated by content id and path, and the text joins as any of the equal ones. Provenances of a path are sorted, the
-    working tree first; the first one is the primary.
+    The same content at any number of paths and commits is one unit. Locations are aggregated by content id and path without the
+    text; one copy of each text is kept by content id, copies being combined before the shuffle, and joined where it already
+    is. Provenances of a path are sorted, the working tree first; the first one is the primary. The places of one content
+    are one array, as large as its paths and commits are many.
     """
-    rows = files.withColumn("content_id", content_id(F.col("content")))
+    identity = content_id(F.col("content"))
     prov = F.struct((F.col("prov_kind") != "working_tree").alias("rank"), F.col("sha"), F.col("author"), F.col("date"), F.col("prov_kind"))
-    places = rows.withColumn("location_class", location_class(F.col("path"), F.col("content"))).groupBy("content_id", "path", "location_class").agg(F.any_value("content").alias("content"), F.array_sort(F.collect_set(prov)).alias("provs"))
+    places = files.select(identity.alias("content_id"), "path", location_class(F.col("path"), F.col("content")).alias("location_class"), prov.alias("prov")).groupBy("content_id", "path", "location_class").agg(F.array_sort(F.collect_set("prov")).alias("provs"))
     where = F.struct("path", F.col("provs")[0]["prov_kind"].alias("prov_kind"), F.col("provs")[0]["sha"].alias("sha"), F.transform("provs", lambda p: F.coalesce(p["sha"], F.lit(""))).alias("shas"), "location_class")
-    return places.groupBy("content_id").agg(F.any_value("content").alias("content"), F.array_sort(F.collect_list(where)).alias("locations"))
+    located = places.groupBy("content_id").agg(F.array_sort(F.collect_list(where)).alias("locations"))
+    texts = files.select(identity.alias("content_id"), "content").groupBy("content_id").agg(F.any_value("content").alias("content"))
+    return texts.join(located, "content_id")
 
 
 def counters(files: DataFrame) -> DataFrame:
