@@ -2,18 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def reachable(commits: DataFrame, tips: DataFrame, checkpoint=None, most_rounds: int = 100_000) -> DataFrame:
-    """The commits(id, parents, ...) that tips(id) reach, by a frontier: one join a generation, each commit once.
+#: Commits up to which one task walks the graph (about 300 bytes each); beyond, the frontier goes by joins.
+WALKED = 2_000_000
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parents: dict[str, list[str]] = {}
+    tips: list[str] = []
+    for batch in batches:
+        for i, up, tip in zip(batch.column("id").to_pylist(), batch.column("parents").to_pylist(), batch.column("tip").to_pylist(), strict=True):
+            if i is not None and (i not in parents or up):
+                parents[i] = up or []
+            if tip:
+                tips.append(i)
+    seen, left = set(), [t for t in tips if t in parents]
+    while left:
+        i = left.pop()
+        if i not in seen:
+            seen.add(i)
+            left += [p for p in parents[i] if p in parents and p not in seen]
+    found = sorted(seen)
+    for k in range(0, len(found), 10_000):
+        yield pa.RecordBatch.from_arrays([pa.array(found[k : k + 10_000], pa.string())], ["id"])
+
+
+def reachable(commits: DataFrame, tips: DataFrame, checkpoint=None, most_rounds: int = 100_000, walked: int = WALKED) -> DataFrame:
+    """The commits(id, parents, ...) that tips(id) reach, each once; parents that are no commits (a shallow history) end a line.
 
-    checkpoint(df) cuts the lineage of the frontier; by default the reliable one of Spark is used.
+    Up to so many commits, which are counted first, their ids and parents go to one task, which walks them: one job, however long the
+    history is. Beyond, the frontier goes back by one join a generation; checkpoint(df) cuts its lineage (by default the
+    reliable one of Spark), and a history of more generations than most_rounds is an error.
     """
+    ends = tips.select("id").distinct().withColumn("tip", F.lit(True))
+    if commits.count() <= walked:
+        graph = commits.select("id", "parents").join(ends, "id", "left")
+        seen = graph.select("id", "parents", F.coalesce("tip", F.lit(False)).alias("tip")).repartition(1).mapInArrow(_walk, "id string")
+        return commits.join(seen, "id", "left_semi")
     cut = checkpoint or (lambda df: df.checkpoint())
     edges = commits.select("id", F.explode_outer("parents").alias("parent")).where("parent IS NOT NULL")
-    seen = frontier = cut(commits.select("id").join(tips.select("id").distinct(), "id", "left_semi"))
+    seen = frontier = cut(commits.select("id").join(ends, "id", "left_semi"))
     for _ in range(most_rounds):
         after = edges.join(frontier, "id", "left_semi").select(F.col("parent").alias("id")).distinct()
         frontier = cut(after.join(commits.select("id"), "id", "left_semi").join(seen, "id", "left_anti"))
@@ -30,6 +64,18 @@ def newest(commits: DataFrame, budget: int) -> DataFrame:
     return commits.orderBy(F.col("commit_time").desc(), F.col("id").desc()).limit(budget)
 
 
+def budgeted(commits: DataFrame, budget: int) -> tuple[DataFrame, bool]:
+    """The newest commits, at most budget, and whether there are more."""
+    return newest(commits, budget), commits.limit(budget + 1).count() > budget
+
+
+def walk_warnings(chosen: DataFrame, truncated: bool, budget: int, shallow: bool) -> DataFrame:
+    """kind, message of what a walk leaves out: commits past the budget, history that a shallow clone lacks, further parents of merges."""
+    said = [("history_budget_hit", f"history scan stopped at budget of {budget} commits")] * truncated + [("shallow_clone", "repository is a shallow clone")] * shallow
+    merges = chosen.where(F.size("parents") > 1).select(F.lit("merge_commit_first_parent_only").alias("kind"), F.concat(F.lit("merge commit "), "id", F.lit(" diffed against first parent only")).alias("message"))
+    return chosen.sparkSession.createDataFrame(said, "kind string, message string").unionByName(merges)
+
+
 def changes(commits: DataFrame, trees: DataFrame) -> DataFrame:
     """commit, path, blob_id, mode of entries that the first parent's tree does not have; all of a root's entries.
 

@@ -6,6 +6,7 @@ import io
 import json
 import os
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +24,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def working_tree(spark: SparkSession, root: str, max_bytes: int = 4 << 20) -> DataFrame:
-    """path, content, prov_kind, sha, author, date of the files under root that are valid UTF-8; larger ones are not read.
+    """path, content, prov_kind, sha, author, date of the files under root; larger ones are not read. What is no UTF-8 stays as it is.
 
     Spark's own listing leaves out names that begin with a dot, so the driver lists names and sizes of a folder (one that
     driver and executors share) and executors read. A root of another scheme is read by Spark, without such names.
@@ -43,7 +44,7 @@ def working_tree(spark: SparkSession, root: str, max_bytes: int = 4 << 20) -> Da
         names = spark.createDataFrame(listed, "full string, path string").repartition(spark.sparkContext.defaultParallelism)
         files = names.mapInArrow(_read, "path string, content binary")
     none = F.lit(None).cast("string")
-    return files.where(F.is_valid_utf8(F.col("content").cast("string"))).select("path", F.col("content").cast("string").alias("content"), F.lit("working_tree").alias("prov_kind"), none.alias("sha"), none.alias("author"), none.alias("date"))
+    return files.select("path", F.col("content").cast("string").alias("content"), F.lit("working_tree").alias("prov_kind"), none.alias("sha"), none.alias("author"), none.alias("date"))
 
 
 def baseline(spark: SparkSession, path: str) -> DataFrame:
@@ -54,24 +55,35 @@ def baseline(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of archives; an archive of which any part cannot be used gives one row with an error and no others."""
     for batch in batches:
-        for content in batch.column("content").to_pylist():
-            rows: list[tuple[str, str, str, str]] = []
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
-                for info in z.infolist():
-                    if not info.filename.endswith(".json") or info.file_size > MAX_ENTRY:
-                        continue
-                    for x in json.loads(z.read(info)).get("affected", ()):
-                        p = x.get("package", {})
-                        rows += [(str(p.get("ecosystem", "")).lower(), str(p.get("name", "")), v) for v in x.get("versions", ()) if isinstance(v, str)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["ecosystem", "name", "version"])
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            rows: list[tuple[str | None, str | None, str | None, str | None]] = []
+            try:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for info in z.infolist():
+                        if not info.filename.endswith(".json"):
+                            continue
+                        if info.file_size > MAX_ENTRY:
+                            raise ValueError(f"entry over {MAX_ENTRY} bytes")
+                        for x in json.loads(z.read(info)).get("affected", ()):
+                            p = x.get("package", {})
+                            rows += [(str(p.get("ecosystem", "")).lower(), str(p.get("name", "")), v, None) for v in x.get("versions", ()) if isinstance(v, str)]
+            except (ValueError, AttributeError, KeyError, TypeError, zipfile.BadZipFile, zlib.error, NotImplementedError) as e:
+                rows = [(None, path.rsplit("/", 1)[-1], None, type(e).__name__)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], ["ecosystem", "name", "version", "error"])
+
+
+def snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """ecosystem, name, version, error of the snapshot archives at path; with an error, name is the archive."""
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_entries, "ecosystem string, name string, version string, error string")
 
 
 def advisories(spark: SparkSession, path: str) -> DataFrame:
-    """ecosystem, norm_name, version of the advisories in snapshot archives."""
+    """ecosystem, norm_name, version of the advisories in snapshot archives, but for those that cannot be used (see snapshots())."""
     from palisade.operators.dependencies import normalized_name
 
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_entries, "ecosystem string, name string, version string")
+    rows = snapshots(spark, path).where("error IS NULL")
     return rows.select("ecosystem", normalized_name(F.col("ecosystem"), F.col("name")).alias("norm_name"), "version").distinct()
 
 

@@ -12,12 +12,13 @@ import re
 import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.operators.history import newest, reachable, tree_changes
+from palisade.operators.history import budgeted, reachable, tree_changes, walk_warnings
 from palisade.plans.shared import checkpointed
 
 # Object kinds of packs, with the two forms of deltas, and how often a tag may point to a tag.
@@ -240,12 +241,33 @@ def peeled(spark: SparkSession, tips: list[str], found: DataFrame) -> DataFrame:
     return out
 
 
-def history_files(spark: SparkSession, git: str, budget: int = 2000, max_bytes: int = 4 << 20) -> DataFrame:
-    """path, content, prov_kind, sha, author, date of the regular files that the newest commits, at most budget, changed against their first parents."""
+def is_shallow(git: str) -> bool:
+    return os.path.isfile(os.path.join(git, "shallow"))
+
+
+@dataclass
+class History:
+    """files as working_tree() has them; warnings(kind, message); how many commits were read, and whether there are more."""
+
+    files: DataFrame
+    warnings: DataFrame
+    scanned: int
+    truncated: bool
+
+
+def history(spark: SparkSession, git: str, budget: int | None = 2000, max_bytes: int = 4 << 20) -> History:
+    """The regular files that the newest commits, at most budget (None: all), changed against their first parents."""
     found = checkpointed(objects(spark, git, max_bytes))
     known = checkpointed(commits_of(found))
-    chosen = checkpointed(newest(reachable(known, peeled(spark, ref_tips(git), found), checkpointed), budget))
+    reached = checkpointed(reachable(known, peeled(spark, ref_tips(git), found), checkpointed))
+    chosen, truncated = (reached, False) if budget is None else budgeted(reached, budget)
+    chosen = checkpointed(chosen)
     changed = tree_changes(chosen, known, checkpointed(entries_of(found)), checkpointed).where("mode LIKE '100%'")
-    blobs = found.where((F.col("kind") == "blob") & F.is_valid_utf8(F.col("body").cast("string"))).join(changed.select(F.col("blob_id").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
+    blobs = found.where(F.col("kind") == "blob").join(changed.select(F.col("blob_id").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
     rows = changed.join(blobs.select(F.col("id").alias("blob_id"), F.col("body").cast("string").alias("content")), "blob_id").join(chosen.select(F.col("id").alias("commit"), "author", "date"), "commit")
-    return rows.select("path", "content", F.lit("commit").alias("prov_kind"), F.col("commit").alias("sha"), "author", "date")
+    files = rows.select("path", "content", F.lit("commit").alias("prov_kind"), F.col("commit").alias("sha"), "author", "date")
+    return History(files, walk_warnings(chosen, truncated, budget or 0, is_shallow(git)), chosen.count(), truncated)
+
+
+def history_files(spark: SparkSession, git: str, budget: int | None = 2000, max_bytes: int = 4 << 20) -> DataFrame:
+    return history(spark, git, budget, max_bytes).files
