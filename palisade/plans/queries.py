@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions import keys as key_columns
 from palisade.functions.location import location_class, source_scope
+from palisade.functions.rank import KEY_CLASS_NAMES
 from palisade.functions.rules import DEFAULT, DEFAULT_PATHS, DEFAULT_RULES, DEFAULT_STOPWORDS, Ruleset
 from palisade.functions.text import content_id, entropy, fingerprint, lines, redact, stable_id
 from palisade.operators import correlate as co
@@ -18,39 +17,21 @@ from palisade.operators.detect import detect
 from palisade.operators.evaluate import precision_recall
 from palisade.operators.units import collect_units, counters, scannable
 from palisade.plans.inputs import TOKENS, frame, sql
+from palisade.plans.registered import QUERIES, SQL, query, quoted  # noqa: F401
 from palisade.plans.report import sarif_results
 from palisade.plans.scan import secret_findings
 from palisade.plans.shared import checkpointed
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(oracle: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if oracle:
-            SQL[f.__name__] = oracle
-        return f
-
-    return add
-
-
-def _quoted(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
 def _candidates(units: str, rules=DEFAULT_RULES) -> str:
     """Common table expressions ln (lines of a relation with content_id, content, path) and cand (candidates)."""
     parts = []
     for r in rules:
-        words = " OR ".join(f"contains(low, {_quoted(k)})" for k in r.keywords)
+        words = " OR ".join(f"contains(low, {quoted(k)})" for k in r.keywords)
         minified = " AND strlen(line) <= 500" if r.kind == "generic_high_entropy" else ""
-        own = "".join(f" AND NOT contains(raw, {_quoted(w)})" for a in r.allowlists for w in a.stopwords)
-        parts.append(f"SELECT * FROM (SELECT content_id, path, line, line_no, '{r.id}' AS rule_id, '{r.kind}' AS kind, {r.entropy or 0} AS least, unnest(regexp_extract_all(line, {_quoted(r.regex)}, 1)) AS raw FROM ln WHERE ({words}){minified}) WHERE true{own}")
-    skip = " AND ".join(f"NOT regexp_matches(path, {_quoted(p)})" for p in DEFAULT_PATHS)
-    stop = " AND ".join(f"NOT contains(raw, {_quoted(w)})" for w in DEFAULT_STOPWORDS)
+        own = "".join(f" AND NOT contains(raw, {quoted(w)})" for a in r.allowlists for w in a.stopwords)
+        parts.append(f"SELECT * FROM (SELECT content_id, path, line, line_no, '{r.id}' AS rule_id, '{r.kind}' AS kind, {r.entropy or 0} AS least, unnest(regexp_extract_all(line, {quoted(r.regex)}, 1)) AS raw FROM ln WHERE ({words}){minified}) WHERE true{own}")
+    skip = " AND ".join(f"NOT regexp_matches(path, {quoted(p)})" for p in DEFAULT_PATHS)
+    stop = " AND ".join(f"NOT contains(raw, {quoted(w)})" for w in DEFAULT_STOPWORDS)
     return f"""ln AS (SELECT content_id, path, regexp_replace(ls[i], '\\r$', '') AS line, translate(regexp_replace(ls[i], '\\r$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, i AS line_no
  FROM (SELECT content_id, path, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT content_id, path, string_split(content, chr(10)) AS ls FROM {units}))),
 cand AS (SELECT *, list_entropy(string_split(raw, '')) AS entropy FROM ({' UNION ALL '.join(parts)}) WHERE list_entropy(string_split(raw, '')) >= least AND {skip} AND {stop})"""
@@ -123,7 +104,7 @@ _ROLE = {"anon": ("anon_legacy", "info", "likely"), "service_role": ("service_ro
 SELECT doc_id, key_class, CASE key_class WHEN 'secret_new' THEN 'critical' WHEN 'service_role_legacy' THEN 'critical' WHEN 'unknown' THEN 'low' ELSE 'info' END AS severity, CASE key_class WHEN 'unknown' THEN 'review' ELSE 'likely' END AS confidence,
  CASE WHEN key_class IN ('publishable_new', 'secret_new') THEN hint WHEN key_class <> 'unknown' THEN CASE doc_id % 5 {" ".join(f"WHEN {i} THEN 'https://{t[1]}.supabase.co'" for i, t in enumerate(TOKENS))} END END AS project_url FROM c""")
 def key_classes(spark, sf_dir):
-    return frame(spark, sf_dir, "keys").withColumn("c", key_columns.classified(F.col("raw"), F.col("hint"))).select("doc_id", "c.*")
+    return frame(spark, sf_dir, "keys").withColumn("c", key_columns.classified(F.col("raw"), F.col("hint"))).select("doc_id", "c.key_class", "c.severity", "c.confidence", "c.project_url")
 
 
 _FOUND = f"""{_UNITS}, {_candidates("u")},
@@ -131,7 +112,7 @@ hint AS (SELECT content_id, nullif(regexp_extract(any_value(content), 'https://[
 pay AS (SELECT cand.*, hint, CASE WHEN rule_id = 'supabase-legacy-jwt' THEN decode(from_base64(rpad(translate(split_part(raw, '.', 2), '-_', '+/'), CAST(4 * ceil(length(split_part(raw, '.', 2)) / 4) AS INTEGER), '='))) END AS body FROM cand JOIN hint USING (content_id)),
 cls AS (SELECT *, CASE WHEN kind <> 'possible_supabase_key' THEN NULL WHEN starts_with(raw, 'sb_publishable_') THEN 'publishable_new' WHEN starts_with(raw, 'sb_secret_') THEN 'secret_new' WHEN regexp_extract(body, '"role":"([^"]*)"', 1) = 'anon' THEN 'anon_legacy' WHEN regexp_extract(body, '"role":"([^"]*)"', 1) = 'service_role' THEN 'service_role_legacy' ELSE 'unknown' END AS key_class FROM pay),
 fnd AS (SELECT content_id, path, line_no, strpos(line, raw) AS col, kind, rule_id, key_class, substr(sha256(raw), 1, 32) AS fingerprint,
- CASE WHEN key_class IS NULL OR key_class IN ('secret_new', 'service_role_legacy') THEN 'secret_exposure' ELSE 'supabase_key' END AS category, coalesce('supabase-key:' || key_class, rule_id) AS rule_or_class,
+ CASE WHEN key_class IS NULL OR key_class IN ('secret_new', 'service_role_legacy') THEN 'secret_exposure' ELSE 'key_classification' END AS category, coalesce('supabase-key:' || key_class, rule_id) AS rule_or_class,
  CASE WHEN key_class IN ('secret_new', 'service_role_legacy') THEN 'critical' WHEN key_class = 'unknown' THEN 'low' WHEN key_class IS NOT NULL THEN 'info' WHEN kind IN ('provider_secret', 'private_key') THEN 'high' ELSE 'medium' END AS severity,
  CASE WHEN key_class IN ('publishable_new', 'secret_new') THEN hint WHEN key_class IN ('anon_legacy', 'service_role_legacy') THEN 'https://' || regexp_extract(body, '"ref":"([^"]*)"', 1) || '.supabase.co' END AS project FROM cls),
 prj AS (SELECT *, coalesce(project, CASE WHEN min(project) OVER w = max(project) OVER w THEN min(project) OVER w END) AS project_url FROM fnd WINDOW w AS (PARTITION BY category, rule_or_class, fingerprint, severity)),
@@ -145,14 +126,13 @@ def coalesced_findings(spark, sf_dir):
     return found.select("id", "category", "severity", "fingerprint", "project_url", "key_class")
 
 
+def _introspected(spark, sf_dir) -> DataFrame:
+    return rls.introspect(*(frame(spark, sf_dir, n) for n in ("candidates", "tables", "policies", "grants")))
+
+
 def _rls_findings(spark, sf_dir) -> DataFrame:
     """The catalog's findings in the form of findings."""
-    rows = rls.introspect(*(frame(spark, sf_dir, n) for n in ("candidates", "tables", "policies", "grants")))
-    none = F.lit(None).cast("string")
-    return rows.select(
-        "id", F.lit("rls").alias("category"), "severity", F.lit("confirmed").alias("confidence"), F.col("exposure").alias("rule_id"), none.alias("fingerprint"), none.alias("redacted"), none.alias("key_class"),
-        "project_url", F.array().cast("array<struct<path:string,line:int,col_start:int,col_end:int,prov_kind:string,sha:string,shas:array<string>,location_class:string>>").alias("locations"), "table", "exposure", F.array().cast("array<string>").alias("related"),
-    )
+    return rls.policy_findings(_introspected(spark, sf_dir))
 
 
 _RLS = f"""{sql("candidates")}, {sql("tables")}, {sql("policies")}, {sql("grants")},
@@ -169,7 +149,7 @@ rf AS (SELECT DISTINCT 'rls-policy-' || substr(sha256(nm || chr(0) || url || chr
 
 @query(f'WITH {_RLS} SELECT id, project_url, tbl AS "table", command, exposure, severity FROM rf')
 def catalog_rules(spark, sf_dir):
-    return rls.introspect(*(frame(spark, sf_dir, n) for n in ("candidates", "tables", "policies", "grants")))
+    return _introspected(spark, sf_dir).select("id", "project_url", "table", "command", "exposure", "severity")
 
 
 def _all_findings(spark, sf_dir) -> DataFrame:
@@ -208,10 +188,20 @@ def severity_gate(spark, sf_dir):
     return co.gate(_all_findings(spark, sf_dir), "critical")
 
 
-@query(f"WITH {_FOUND} SELECT id, CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level, CASE severity WHEN 'critical' THEN '9.5' WHEN 'high' THEN '8.0' WHEN 'medium' THEN '5.0' WHEN 'low' THEN '2.5' ELSE '0.0' END AS security_severity, list_min(paths) AS uri FROM coal")
+_KEY_TEXTS = " ".join(f"WHEN '{k}' THEN {quoted(v)}" for k, v in key_columns.TITLES.items())
+_DEBUG = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in KEY_CLASS_NAMES.items())
+#: Texts of coalesced findings: those of a key by its class, of others by the rule that they are grouped by.
+_TEXTS = f"""tx AS (SELECT coal.*, CASE WHEN key_class IS NULL THEN 'Secret candidate matched ' || rule_or_class ELSE CASE key_class {_KEY_TEXTS} END END AS title,
+ (SELECT CASE WHEN length(any_value(raw)) <= 12 THEN '***' ELSE substr(any_value(raw), 1, 6) || '...' || right(any_value(raw), 4) END FROM cand WHERE substr(sha256(raw), 1, 32) = fingerprint) AS redacted FROM coal),
+ev AS (SELECT *, CASE WHEN key_class IS NULL THEN 'secret ' || redacted ELSE CASE key_class {_DEBUG} END || ' ' || redacted || ' on ' || coalesce(project_url, 'unknown project') END || ' fingerprint ' || fingerprint AS evidence FROM tx)"""
+
+
+@query(f"""WITH {_FOUND}, {_TEXTS} SELECT id, CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level, CASE severity WHEN 'critical' THEN '9.5' WHEN 'high' THEN '8.0' WHEN 'medium' THEN '5.0' WHEN 'low' THEN '2.5' ELSE '0.0' END AS security_severity,
+ title || ': ' || evidence AS message, list_min(paths) AS uri, CAST(n_places AS INTEGER) AS n_places FROM ev""")
 def sarif_rows(spark, sf_dir):
+    """Results of the SARIF report."""
     found = secret_findings(collect_units(scannable(_flat_files(spark, sf_dir))))
-    return sarif_results(found).select("id", "level", "security_severity", "uri")
+    return sarif_results(found).select("id", "level", "security_severity", "message", F.col("places")[0]["uri"].alias("uri"), F.size("places").alias("n_places"))
 
 
 @query(f"""WITH {sql("probed")}, {sql("responses")}, r AS (SELECT project_url, p.table AS tbl, regexp_replace(project_url, '/+$', '') || '/rest/v1/' || p.table || '?select=*&limit=1' AS endpoint, status, body, error FROM probed p LEFT JOIN responses ON url = regexp_replace(project_url, '/+$', '') || '/rest/v1/' || p.table || '?select=*&limit=1'),
@@ -281,12 +271,16 @@ def newest_commits(spark, sf_dir):
     return history.newest(_commits(spark, sf_dir), 2000).select("id", "commit_time")
 
 
-@query(f"WITH {sql('commits')} SELECT id FROM commits")
+#: Tips: the last commit of a chain of ten, one in the middle of it, or none.
+_TIP = "CASE number // 10 % 3 WHEN 0 THEN number % 10 = 9 WHEN 1 THEN number % 10 = 4 ELSE false END"
+
+
+@query(f"WITH {sql('commits')}, x AS (SELECT id, CAST(substr(id, 2) AS BIGINT) AS number FROM commits), last AS (SELECT number // 10 AS chain, max(number) AS number FROM x WHERE {_TIP} GROUP BY ALL) SELECT id FROM x JOIN last ON x.number // 10 = chain AND x.number <= last.number")
 def reachable_commits(spark, sf_dir):
-    """From the last commit of each chain, back to the first."""
+    """From tips back to the first commit of their chain; chains without a tip are not reached."""
     commits = _commits(spark, sf_dir)
-    parents = commits.select(F.explode("parents").alias("id"))
-    return history.reachable(commits, commits.select("id").join(parents, "id", "left_anti"), checkpointed).select("id")
+    tip = _TIP.replace("//", "DIV")
+    return history.reachable(commits, commits.select("id", F.substring("id", 2, 20).cast("long").alias("number")).where(tip).select("id"), checkpointed).select("id")
 
 
 @query(f"""WITH {sql("commits")}, {sql("trees")}, x AS (SELECT t.path, t.blob_id, c.id AS sha, commit_time FROM commits c JOIN trees t USING (tree_id))
@@ -318,3 +312,6 @@ def content_identities(spark, sf_dir):
 @query("SELECT p_partkey, round(list_entropy(string_split(p_name, '')), 6) AS name_entropy FROM part")
 def name_entropy(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.round(entropy(F.col("p_name")), 6).alias("name_entropy"))
+
+
+from palisade.plans import access_queries, detection_queries, history_queries, registry_queries  # noqa: E402, F401
