@@ -16,6 +16,7 @@ from palisade.operators.keys import findings_of
 from palisade.operators.units import collect_units, scannable, should_scan
 from palisade.plans.report import FORMATS, render
 from palisade.plans.scan import scan
+from palisade.plans.shared import checkpointed
 
 FILES = "path string, content string, prov_kind string, sha string, author string, date string"
 TOKEN = "sb_secret_" + "Ab3dEf6hIj9lMn2pQr5tUv8x"
@@ -82,9 +83,9 @@ def test_projects_are_reconciled(spark):
 def test_nothing_raw_is_reported(spark):
     s = scan(files(spark, ("src/app/a.ts", f"{TOKEN} https://p1.supabase.co\n" + "token = '" + "aB3xK9z_" * 4 + "'", None), ("package.json", '{"dependencies": {"Bad Name": "", "ok": "1"}}', None)))
     for kind in FORMATS:
-        text = render(s.findings, kind)
+        text = render(s, kind)
         assert TOKEN not in text and "aB3xK9z_" * 4 not in text
-    assert {f["category"] for f in json.loads(render(s.findings))["findings"]} == {"secret_exposure", "dependency_integrity"}
+    assert {f["category"] for f in json.loads(render(s))["findings"]} == {"secret_exposure", "dependency_integrity"}
 
 
 def test_binary_and_large_files_are_left_out(spark):
@@ -113,10 +114,16 @@ def test_custom_rules(spark):
             rules.load(bad)
 
 
-def test_unfinished_reachability_is_an_error(spark):
-    commits = spark.createDataFrame([("a", ["b"]), ("b", ["c"]), ("c", [])], "id string, parents array<string>")
-    tips = spark.createDataFrame([("a",)], "id string")
-    cut = lambda df: df.localCheckpoint()
-    assert reachable(commits, tips, cut, 3).count() == 3
+def test_reachability(spark):
+    commits = spark.createDataFrame([("a", ["b", "x"]), ("b", ["c"]), ("c", []), ("d", ["c"]), ("e", ["gone"])], "id string, parents array<string>")
+    tips = spark.createDataFrame([("a",), ("e",), ("none",)], "id string")
+    for walked in (0, 100):
+        assert sorted(r.id for r in reachable(commits, tips, checkpointed, 4, walked).collect()) == ["a", "b", "c", "e"]
     with pytest.raises(RuntimeError):
-        reachable(commits, tips, cut, 1)
+        reachable(commits, tips, checkpointed, 1, 0)
+
+
+def test_long_history_is_one_walk(spark):
+    n = 20_000
+    commits = spark.range(n).select(F.concat(F.lit("c"), "id").alias("id"), F.when(F.col("id") > 0, F.array(F.concat(F.lit("c"), F.col("id") - 1))).otherwise(F.array().cast("array<string>")).alias("parents"))
+    assert reachable(commits, spark.createDataFrame([(f"c{n - 2}",)], "id string")).count() == n - 1

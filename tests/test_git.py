@@ -76,7 +76,7 @@ def test_deltas_by_id_and_bad_packs(repository):
 
 
 def test_command_reads_history(spark, repository, capsys):
-    assert main([str(repository), "--format", "json"], spark) == 0
+    assert main([str(repository), "--format", "json"], spark) == 1
     places = [x for f in json.loads(capsys.readouterr().out)["findings"] for x in f["locations"]]
     assert [x["path"] for x in places] == ["top.ts"] and places[0]["prov_kind"] == "commit"
     assert main([str(repository), "--format", "json", "--no-history"], spark) == 0
