@@ -6,7 +6,7 @@ REJECT of those that were told right reach, at most CEILING.
 
 Size: training takes at most PER_CLASS documents of each language and MOST of all languages together, one of each at least
 (documented bounds; documents are picked by a hash of doc_id); all texts are read whole, in training, calibration and scoring.
-The driver holds one text's words at a time, and of each training text a bag of at most BUCKETS counted buckets. The model is
+The driver holds one text's words at a time, and of each training text a bag of at most BUCKETS counted buckets (6 bytes each). The model is
 one embedding for each bucket and one column for each language. Scoring is one pass over all rows without a shuffle.
 
 Defined cases: a null text, or one without a letter, is "und" with score 0 and rejected; if nothing could be learned, all
@@ -16,7 +16,6 @@ otherwise always gets a learned language. Rows are returned one for one; other c
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.common import carried, extended, fold, load, passed, training_sample
-from palisade.llm.subword import BUCKETS, GRAMS, PART, WIDTH, Bags, grams, softmax, words_of
+from palisade.llm.subword import BUCKETS, CHUNK_WORDS, GRAMS, WIDTH, Bags, grams, softmax, summed, words_of
 
 PER_CLASS, MOST, FOLDS, HELD_OUT = 500, 10_000, 4, 2
-ROUNDS, BATCH, RATE, CACHE = 6, 32, 8.0, 100_000
+ROUNDS, BATCH, RATE = 6, 32, 8.0
 #: Share of rightly told texts that the threshold may reject, and its highest value.
 REJECT, CEILING = 0.001, 0.5
 
@@ -45,17 +44,12 @@ class Model:
         self.languages, self.table, self.soft, self.bias = languages, table.astype(np.float32), soft, bias
         self.temperature, self.threshold = temperature, threshold
 
-    def word(self, word: str) -> tuple[np.ndarray, int]:
-        rows = grams(word, GRAMS, BUCKETS)
-        return self.table[rows].sum(0), len(rows)
-
 
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of all words of a text, and how often each comes."""
-    words = Counter(words_of(text))
-    rows = [grams(w, GRAMS, BUCKETS) for w in words]
-    times = np.repeat(list(words.values()), [len(r) for r in rows])
-    total = np.bincount(np.concatenate(rows).astype(np.int64), times, BUCKETS)
+    words, total = words_of(text), np.zeros(BUCKETS)
+    for i in range(0, len(words), CHUNK_WORDS):
+        total += np.bincount(grams(words[i : i + CHUNK_WORDS], GRAMS, BUCKETS)[0], minlength=BUCKETS)
     found = np.flatnonzero(total)
     return found.astype(np.uint16), total[found].astype(np.float32)
 
@@ -80,7 +74,8 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> Model | None:
         rate = RATE * (1 - round_ / ROUNDS)
         for i in rng.permutation(len(steps)).tolist():
             at = steps[i]
-            now = Bags([bags[j][0] for j in at.tolist()], [bags[j][1] for j in at.tolist()])
+            rows_, times = zip(*(bags[j] for j in at.tolist()), strict=True)
+            now = Bags(np.concatenate(rows_), np.repeat(np.arange(len(at)), list(map(len, rows_))), np.concatenate(times))
             mean = now.mean(table)
             g = softmax(mean @ soft + bias)
             g[np.arange(len(at)), label[cut + at]] -= 1
@@ -104,36 +99,15 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> Model | None:
 
 
 class Teller:
-    """Applies a model; remembers the sums of the embeddings of words."""
+    """Applies a model."""
 
     def __init__(self, model: Model | None) -> None:
         self.model = model
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.sums = np.zeros((1024, WIDTH + 1), np.float32)
 
     def logits(self, text: str) -> np.ndarray:
         """The scores of the languages for a whole text, before the temperature."""
-        at, apart = [], np.zeros(WIDTH + 1)
-        for w in words_of(text):
-            if w[0] == PART:  # parts of long runs hardly come again
-                total, n = self.model.word(w)
-                apart += np.append(total, n)
-                continue
-            k = self.known.get(w)
-            if k is None:
-                k = self.known[w] = len(self.known)
-                if k >= len(self.sums):
-                    self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-                total, n = self.model.word(w)
-                self.sums[k, :-1], self.sums[k, -1] = total, n
-            at.append(k)
-        total = self.sums[at].sum(0, dtype=np.float64) + apart
-        if len(self.known) > CACHE:
-            self.clear()
-        return (total[:-1] / (total[-1] or 1.0)) @ self.model.soft + self.model.bias
+        total, n = summed(self.model.table, words_of(text), GRAMS)
+        return (total / (n or 1)) @ self.model.soft + self.model.bias
 
     def tell(self, text: str | None) -> tuple[str, float, bool]:
         if not text or not has_letter(text):

@@ -1,60 +1,82 @@
 """Hashed subword embeddings with a linear softmax, trained in numpy.
 
-A word is the bag of its character n-grams (of "<word>") and itself, each hashed to a row of an embedding table. Because
-the softmax is linear, a trained model reduces to one row of class scores per hash bucket; scoring a word is averaging rows.
+A word w is the bag of the character n-grams of "<w>" and, if it has at most LONG characters, of "<w>" as a whole, each hashed to a row of
+an embedding table; longer runs (text without spaces) are read whole through their n-grams. All words of a text are hashed at
+once: n-grams are polynomials of code points, rolled over the text, so there is no cache of words. Because the softmax is linear,
+scoring a text is averaging rows.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 
-#: Hash buckets, embedding width, lengths of the character n-grams.
+#: Hash buckets (a power of two), embedding width, lengths of the character n-grams.
 BUCKETS, WIDTH, GRAMS = 1 << 16, 8, (2, 3, 4)
-#: Characters of the longest run that is one word and of a part of longer ones; the mark of parts, which no word holds.
-LONG, PART = 40, "_"
+#: Characters of the longest run that also counts as a word; words hashed at a time; rows of a table summed at a time.
+LONG, CHUNK_WORDS, CHUNK_ROWS = 40, 20_000, 1 << 17
 
 _WORDS = re.compile(r"[^\W_]+")
+_FACTOR, _TAG = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_POWERS = np.array([pow(_FACTOR, i, 1 << 64) for i in range(LONG + 2)], np.uint64)
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters and digits, in lower case; one of more than LONG characters as its parts."""
-    found = _WORDS.findall(text.lower())
-    return [p for w in found for p in parts(w)] if any(len(w) > LONG for w in found) else found
-
-
-def parts(word: str) -> list[str]:
-    """A word of at most LONG characters as it is; parts of a longer run (text without spaces), each after the mark PART.
-
-    Parts of "<run>" have LONG characters and begin LONG / 2 apart. So each n-gram of the run is in a part, most are in two, and
-    whatever has at most LONG / 2 characters is whole in one.
-    """
-    if len(word) <= LONG:
-        return [word]
-    w = f"<{word}>"
-    return [PART + w[i : i + LONG] for i in range(0, len(w) - LONG // 2, LONG // 2)]
-
-
-def grams(word: str, lengths: tuple[int, ...] = GRAMS, buckets: int = BUCKETS) -> list[int]:
-    """The buckets of a word: it as a whole, then its n-grams; of a part of a run, its n-grams."""
-    w = word[1:] if word[:1] == PART else f"<{word}>"
-    found = [] if word[:1] == PART else [zlib.crc32(w.encode("utf-8", "surrogatepass"))]
-    found += [zlib.crc32(w[i : i + k].encode("utf-8", "surrogatepass"), k) for k in lengths for i in range(len(w) - k + 1)]
-    return [x % buckets for x in found]
+    """Runs of letters and digits, in lower case."""
+    return _WORDS.findall(text.lower())
+
+
+def _bucket(h: np.ndarray, length: int, buckets: int) -> np.ndarray:
+    h = h ^ np.uint64(length * _TAG & (1 << 64) - 1)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(_TAG)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(_FACTOR)
+    return (h >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
+
+
+def grams(words: list[str], lengths: tuple[int, ...] = GRAMS, buckets: int = BUCKETS, owned: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """The buckets of all words, and if owned for each bucket the number of its word."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    codes = np.frombuffer(f"<{'><'.join(words)}>".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    ends = np.cumsum(sizes)
+    left = np.repeat(ends, sizes) - np.arange(len(codes))  # characters of the word from each place on
+    of = np.repeat(np.arange(len(words)), sizes) if owned else None
+    whole = np.add.reduceat(codes * _POWERS[np.minimum(left - 1, LONG + 1)], ends - sizes)
+    short = sizes <= LONG + 2
+    rows, owners = [_bucket(whole[short], 0, buckets)], [np.flatnonzero(short)]
+    rolled = codes
+    for k in range(2, max(lengths) + 1):
+        rolled = rolled[:-1] * np.uint64(_FACTOR) + codes[k - 1 :]
+        if k in lengths:
+            inside = left[: len(rolled)] >= k
+            rows.append(_bucket(rolled[inside], k, buckets))
+            if owned:
+                owners.append(of[: len(rolled)][inside])
+    return np.concatenate(rows), np.concatenate(owners) if owned else None
+
+
+def summed(table: np.ndarray, words: list[str], lengths: tuple[int, ...] = GRAMS) -> tuple[np.ndarray, int]:
+    """The sum of the rows of all words of a text, and their number; table has 32-bit floats."""
+    total, n = np.zeros(table.shape[1:], np.float64), 0
+    for i in range(0, len(words), CHUNK_WORDS):
+        rows = grams(words[i : i + CHUNK_WORDS], lengths, len(table))[0]
+        n += len(rows)
+        for k in range(0, len(rows), CHUNK_ROWS):
+            found = table.take(rows[k : k + CHUNK_ROWS], 0)
+            total += np.ones(len(found), np.float32) @ found
+    return total, n
 
 
 class Bags:
-    """Bags of buckets laid end to end, each bucket with how often it comes."""
-
-    def __init__(self, bags: list, times: list | None = None) -> None:
-        sizes = np.fromiter(map(len, bags), np.int64, len(bags))
-        self.rows = np.concatenate([np.asarray(b, np.int32) for b in bags]) if bags else np.zeros(0, np.int32)
-        self.times = np.ones(len(self.rows)) if times is None else np.concatenate(times).astype(float)
-        self.firsts = np.cumsum(sizes) - sizes
-        self.of = np.repeat(np.arange(len(bags)), sizes)
-        self.counts = np.bincount(self.of, self.times, len(bags))
+    """Bags of buckets laid end to end, each bucket with how often it comes: rows, their bags in order, and times."""
+
+    def __init__(self, rows: np.ndarray, of: np.ndarray, times: np.ndarray | None = None) -> None:
+        self.rows, self.of = rows.astype(np.int32), of
+        self.times = np.ones(len(rows)) if times is None else times.astype(float)
+        self.counts = np.bincount(of, self.times)
+        self.firsts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
 
     def sums(self, table: np.ndarray) -> np.ndarray:
         """By bag, the sum of its rows of a table of one or two dimensions."""

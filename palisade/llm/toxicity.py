@@ -2,11 +2,10 @@
 
 A text is the average of the embeddings of the subwords (character n-grams, and the word itself) of its distinct words, put
 through a two-class linear softmax; embeddings and softmax are trained together from document labels alone. A misspelt word
-shares most n-gram vectors with the word that it comes from, and a run of over 40 characters counts as its overlapping
-parts. A logistic curve fitted on labelled documents that were kept out of training turns log-odds into a score.
+shares most n-gram vectors with the word that it comes from, and runs of any length are read whole. A logistic curve fitted on labelled documents that were kept out of training turns log-odds into a score.
 
 Size: training takes at most PER_CLASS labelled rows of each label (a documented bound; rows are picked by a hash of
-doc_id), whole; scoring is one pass over all rows without a shuffle, and a worker caches the sums of at most CACHE words.
+doc_id), whole; scoring is one pass over all rows without a shuffle, and nothing is kept from one text to the next.
 
 Defined cases: a null text, or one without words, gets the score of an average of nothing, that is of the softmax's bias alone,
 but never over 0.49; without labelled rows of both kinds every score is 0. A doc_id labelled twice counts once, one labelled both
@@ -23,16 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.common import fold, load, training_sample
-from palisade.llm.subword import PART, Adam, Bags, grams, words_of
+from palisade.llm.subword import Adam, Bags, grams, summed, words_of
 
 #: Labelled rows of each label at most; held-out fold.
 PER_CLASS, FOLDS, HELD_OUT = 2500, 5, 0
 LENGTHS, BUCKETS, WIDTH = (3, 4, 5), 1 << 17, 4
-ROUNDS, RATE, DECAY, CACHE = 150, 0.08, 2e-6, 100_000
+ROUNDS, RATE, DECAY = 150, 0.08, 2e-6
 #: One of so many labelled rows is kept out to fit the logistic curve.
 KEPT_OUT = 8
 #: What toxic texts weigh together when the curve is fitted; the others weigh the rest.
-TOXIC = 0.4
+TOXIC = 0.5
 
 
 class Model:
@@ -41,11 +40,6 @@ class Model:
     def __init__(self, table: np.ndarray, bias: float, slope: float = 1.0, shift: float = 0.0) -> None:
         self.table, self.bias, self.slope, self.shift = table.astype(np.float32), bias, slope, shift
 
-    def word(self, word: str) -> tuple[float, int]:
-        """The sum over a word's subwords, and their number."""
-        rows = grams(word, LENGTHS, BUCKETS)
-        return float(self.table[rows].sum()), len(rows)
-
     def score(self, odds: float | None) -> float:
         """The score for log-odds; None: of a text without words."""
         p = float(1 / (1 + np.exp(-np.clip(self.slope * (self.bias if odds is None else odds) + self.shift, -30, 30))))
@@ -65,7 +59,10 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Model | None:
     known: dict[str, int] = {}
     flat = np.array([known.setdefault(w, len(known)) for ws, _ in docs[cut:] for w in ws], np.int32)
     of = np.repeat(np.arange(len(docs) - cut), [len(ws) for ws, _ in docs[cut:]])
-    words = Bags([grams(w, LENGTHS, BUCKETS) for w in known])
+    rows_, owners = grams(list(known), LENGTHS, BUCKETS, owned=True)
+    order = np.argsort(owners, kind="stable")
+    words = Bags(rows_[order], owners[order])
+    del rows_, owners, order
     y = np.array([y for _, y in docs[cut:]], float)
     size = np.bincount(of, words.counts[flat])
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
@@ -100,30 +97,16 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def document(model: Model, words: list[str], cache: dict | None = None) -> float | None:
+def document(model: Model, words: list[str]) -> float | None:
     """The log-odds of a text with these distinct words; None without words."""
-    cache = {} if cache is None else cache
-    total, n = 0.0, 0
-    for w in words:
-        v = cache.get(w)
-        if v is None:
-            v = model.word(w)
-            if w[0] != PART:  # parts of long runs hardly come again
-                cache[w] = v
-        total += v[0]
-        n += v[1]
-    return total / n + model.bias if n else None
+    total, n = summed(model.table, words, LENGTHS)
+    return float(total) / n + model.bias if n else None
 
 
 def _score(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict = {}
         for batch in batches:
-            scores = []
-            for t in batch.column("text").to_pylist():
-                scores.append(model.score(document(model, sorted(set(words_of(t or ""))), cache)) if model else 0.0)
-                if len(cache) > CACHE:
-                    cache.clear()
+            scores = [model.score(document(model, sorted(set(words_of(t or ""))))) if model else 0.0 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     return run
