@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from palisade.plans.shared import checkpointed, shared_folder  # noqa: F401
+
 #: Words are maximal runs of other characters than these; bytes.split() without arguments cuts at exactly them.
 WHITE = b" \t\n\x0b\x0c\r"
 #: Lower-cases A-Z and nothing else.
@@ -24,25 +23,6 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or on one machine a temporary one."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            shared = tempfile.mkdtemp(prefix="checkpoint-")
-        sc.setCheckpointDir(shared)
-    return sc.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once into the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def plan_bytes(df: DataFrame) -> int | None:
     """Spark's estimate of the size of df in bytes, without running it; None where it has none."""
     n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -59,11 +39,11 @@ def joined_by_size(left: DataFrame, right: DataFrame, key: str, size: str = "siz
     Keys that make up more than a small share of all rows are joined by broadcast, so that no task gets them whole: as
     each has at least a HOT_SHARE-th part of a partition's rows, there are at most HOT_SHARE * partitions of them, whatever the data.
     """
-    rows = right.agg(F.sum(size)).first()[0] or 0
-    least = max(HOT_LEAST, rows // (HOT_SHARE * shuffle_partitions(left.sparkSession)))
+    rows, most = right.agg(F.sum(size), F.max(size)).first()
+    least = max(HOT_LEAST, (rows or 0) // (HOT_SHARE * shuffle_partitions(left.sparkSession)))
+    if (most or 0) <= least:
+        return left.join(right, key)
     hot, cold = right.where(F.col(size) > least), right.where(F.col(size) <= least)
-    if hot.isEmpty():
-        return left.join(cold, key)
     found = left.join(F.broadcast(hot.select(F.col(key).alias("_hot"))), F.col(key) == F.col("_hot"), "left").withColumn("_hot", F.col("_hot").isNotNull())
     return found.where("_hot").drop("_hot").join(F.broadcast(hot), key).unionByName(found.where("NOT _hot").drop("_hot").join(cold, key))
 

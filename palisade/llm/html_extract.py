@@ -60,6 +60,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style template iframe title".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 CHROME = frozenset("nav footer aside form button menu dialog head label fieldset select textarea datalist".split())
+#: Those of them that may stand in running text.
+CONTROLS = frozenset("button label select textarea datalist".split())
 CHROME_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 CLOSES_P = BLOCK - frozenset("body html head".split())
 #: Blocks of running text, which are no sections of a page.
@@ -94,13 +96,20 @@ class Page:
         text: list[tuple[str, bool]] = []
         at, n = 0, len(s)
 
+        def hidden() -> bool:
+            return any(opened[x] for x in CONTROLS)
+
+        def add(t: str) -> None:
+            if t and not hidden():
+                text.append((t, opened["a"] > 0))
+
         def close() -> None:
             if text:
                 joined = _SPACE.sub(" ", html.unescape("".join(t for t, _ in text))).strip()
                 linked = sum(len(t.split()) for t, a in text if a)
                 text.clear()
                 if joined:
-                    node = stack[-1][1]
+                    node = stack[next((k for k, x in enumerate(stack) if x[0] in CONTROLS), len(stack)) - 1][1] if hidden() else stack[-1][1]
                     words = joined.count(" ") + 1
                     self.blocks.append((joined, len(self.tokens) - 1, node, words, min(linked, words), f"={self.tokens[self.nodes[node][1]]} {joined}"))
 
@@ -112,12 +121,12 @@ class Page:
         while at < n:
             m = _TOKEN.search(s, at)
             if m is None:
-                text.append((s[at:], opened["a"] > 0))
+                add(s[at:])
                 break
-            text.append((s[at : m.start()], opened["a"] > 0))
+            add(s[at : m.start()])
             at = m.end()
             if m[0].startswith("<![CDATA["):
-                text.append((html.escape(m[0][9:].removesuffix("]]>"), quote=False), opened["a"] > 0))
+                add(html.escape(m[0][9:].removesuffix("]]>"), quote=False))
             if m[2] is None:
                 continue
             name, attributes = m[2].lower(), m[3] or ""
@@ -130,7 +139,7 @@ class Page:
             if name in BLOCK:
                 close()
             elif name == "br":
-                text.append((" ", False))
+                add(" ")
             if m[1]:
                 key = name
                 if opened[name]:
@@ -146,7 +155,7 @@ class Page:
                 continue
             if name in CLOSES_P:
                 k = len(stack)
-                while k > 1 and stack[k - 1][0] not in BLOCK:
+                while k > 1 and stack[k - 1][0] not in BLOCK and stack[k - 1][0] not in CONTROLS:
                     k -= 1
                 if stack[k - 1][0] == "p":
                     k -= 1

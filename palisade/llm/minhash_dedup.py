@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
         facts = checkpointed(facts.where(F.lit(100) * F.col("rest") >= F.lit(percent) * F.col("n")))
         sides = checkpointed(apart.join(facts.select("rep", "n", "u"), "rep"))
         central = sides.groupBy("key").agg(F.min_by("rep", F.struct(F.col("u") / F.col("n"), F.col("rep"))).alias("hub"), F.count("*").alias("size"))
-        second = joined_by_size(sides.select("rep", "label", "key"), checkpointed(central), "key").where("rep <> hub")
+        second = joined_by_size(sides.select("rep", "label", "key"), central, "key").where("rep <> hub")
         at_hub = apart.select(F.col("rep").alias("hub"), F.col("label").alias("hub_label")).distinct()
         second = second.select("rep", "label", "hub").distinct().join(at_hub, "hub").where("label <> hub_label")
         found = confirmed(sifted(second.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()))
@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
         found = confirmed(pairs.select(F.col("m.rep").alias("a"), F.col("o.rep").alias("b")).distinct())
         if not found.isEmpty():
             labels = connected(links.unionByName(found))
-    named = checkpointed(classes.select("digest", "size", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", "size", F.coalesce("component", "rep").alias("component_id")))
+    named = classes.select("digest", "size", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", "size", F.coalesce("component", "rep").alias("component_id"))
     full = joined_by_size(signed.where("digest IS NOT NULL").select("doc_id", "n_shingles", "digest"), named, "digest").select("doc_id", "n_shingles", "component_id")
     empty = signed.where("digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.unionByName(empty).withColumn("kept", F.col("doc_id") == F.col("component_id"))
@@ -254,7 +254,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
 def _mixed(members: DataFrame) -> DataFrame:
     """key, rep, label of buckets with different labels."""
     mixed = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size")
-    return joined_by_size(members, checkpointed(mixed), "key").select("key", "rep", "label")
+    return joined_by_size(members, mixed, "key").select("key", "rep", "label")
 
 
 def _unshared(hashes: DataFrame, apart: DataFrame) -> DataFrame:
