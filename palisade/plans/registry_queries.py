@@ -33,13 +33,11 @@ def manifest_dependencies(spark, sf_dir):
 
 
 @query(f"""WITH {sql("deps")}, d AS (SELECT DISTINCT * FROM deps), bad AS (SELECT DISTINCT path, name FROM d WHERE CASE ecosystem WHEN 'npm' THEN NOT (strlen(name) <= 214 AND regexp_matches(name, '^(@[a-z0-9._-]+/)?[a-z0-9._-]+$') AND NOT regexp_matches(name, '^[._]')) OR trim(version_req) = '' ELSE NOT regexp_matches(trim(name), '^[A-Za-z0-9]([A-Za-z0-9._-]*[A-Za-z0-9])?$') END)
-SELECT path, name, version_req, CAST(row_number() OVER (ORDER BY path, section, name, version_req, has_version, ecosystem, is_scoped, "check") AS INTEGER) AS place FROM d ANTI JOIN bad USING (path, name)""")
+SELECT path, section, name, version_req FROM d ANTI JOIN bad USING (path, name)""")
 def eligible_dependencies(spark, sf_dir):
-    """Dependencies each once, in order, without those that are rejected before any lookup."""
+    """Dependencies each once, without those that are rejected before any lookup."""
     deps = frame(spark, sf_dir, "deps")
-    order = [c for c in ("path", "section", "name", "version_req", "has_version", "ecosystem", "is_scoped", "check") if c in deps.columns]
-    rows = dp.eligible(dp.listed(deps.withColumn("error", F.lit(None).cast("string"))).drop("error"), dp.structural(deps)).orderBy(*order).collect()
-    return spark.createDataFrame([(r.path, r.name, r.version_req, i + 1) for i, r in enumerate(rows)], "path string, name string, version_req string, place int")
+    return dp.eligible(dp.listed(deps.withColumn("error", F.lit(None).cast("string"))), dp.structural(deps)).select("path", "section", "name", "version_req")
 
 
 _CONFIGS = [
