@@ -33,8 +33,8 @@ FIELDS = {
 _EMPTY = {"locations", "related"}
 
 
-def finding(rows: DataFrame, **given: Column) -> DataFrame:
-    """rows in the form of findings: the columns given, and nulls or empty arrays for the others."""
+def finding(rows: DataFrame, *more: str, **given: Column) -> DataFrame:
+    """rows in the form of findings: the columns given, and nulls or empty arrays for the others; then columns of rows that are named."""
 
     def column(name: str, kind: str) -> Column:
         c = given.get(name)
@@ -42,7 +42,7 @@ def finding(rows: DataFrame, **given: Column) -> DataFrame:
             c = F.array() if name in _EMPTY else F.lit(None)
         return c.cast(kind).alias(name)
 
-    return rows.select(*(column(n, k) for n, k in FIELDS.items()))
+    return rows.select(*(column(n, k) for n, k in FIELDS.items()), *more)
 
 
 def place(path: Column, location_class: str) -> Column:
