@@ -8,14 +8,14 @@ A document is kept if a hash of its doc_id, as a number from 0 to 1, is below it
 miss of a target share that is left (by trimming, or by targets that no weights meet) is measured and warned of above TOLERANCE.
 
 A document's topic is the word of a fixed list that it has most often (the first one in the list, if several): the TOPICS words, of
-LETTERS characters at least, that most documents have among those that at most one of COMMON has. The list is made from about SAMPLE documents, picked by
-the hash of doc_id (a documented bound). A document with none of them is of topic "other".
+LETTERS characters at least, that most documents have among those that at most one of COMMON has. The list is made from all documents; the SQL still
+makes it from about SAMPLE of them, so that beyond SAMPLE documents its topics can be others. A document with none of them is of topic "other".
 
 Targets are shares raised to a power below 1 and normalised, by default, or given by name; names without a target get a share
 of 0 and their documents go; targets of names that no document has are shared out over the others.
 
-Size: documents are read once to count them, in part for the list, once to count tokens (sums by cell, combined before the
-shuffle) and once to sample; the table of cells goes to the driver and is broadcast, and is refused beyond MAX_CELLS cells.
+Size: documents are read once to count them, once for the list (sums by word, combined before the shuffle, HELD words or SEEN
+bytes of texts at a time), once to count tokens (sums by cell, combined before the shuffle) and once to sample; the table of cells goes to the driver and is broadcast, and is refused beyond MAX_CELLS cells.
 
 Defined cases: a null source or language is one of its own, named ""; a text without words counts as one token, as topic
 "empty"; a null doc_id is hashed as "". Rows are judged one for one; an empty table gives an empty result.
@@ -36,6 +36,8 @@ from palisade.llm.common import carried, extended, load, passed, texts
 
 ROUNDS, TRIM, TOLERANCE, MAX_CELLS = 16, 2.0, 0.02, 500_000
 TOPICS, SAMPLE, COMMON, LETTERS = 16, 5_000, 5, 4
+#: Words, and bytes of the texts that they are from, whose counts a task holds before it sends them on.
+HELD, SEEN = 100_000, 64 << 20
 #: Power that tempers the observed shares to targets, by dimension.
 POWERS = {"source": 0.85, "lang": 0.85, "topic": 0.9}
 
@@ -50,23 +52,29 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(_NO_WORD).split() if text else []
 
 
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct words of each text."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and in how many texts they are; a word can come several times, for parts of the texts."""
+
+    def sent() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
+    counts, seen = Counter(), 0
     for batch in batches:
         for t in texts(batch):
-            found = sorted({w for w in words(t) if len(w) >= LETTERS})
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()).cast(pa.string())], ["word"])
+            counts.update({w for w in words(t) if len(w) >= LETTERS})
+            seen += len(t or b"")
+            if len(counts) > HELD or seen > SEEN:
+                yield sent()
+                counts, seen = Counter(), 0
+    if counts:
+        yield sent()
 
 
 def anchors(docs: DataFrame) -> list[str]:
-    """The words that name topics, from a sample of docs(doc_id, text)."""
+    """The words that name topics, from all texts of docs(doc_id, text)."""
     n = docs.count()
-    if not n:
-        return []
-    sample = docs.where(unit(F.col("doc_id")) * n < SAMPLE)
-    size = sample.count()
-    found = sample.select("text").mapInArrow(_distinct, "word string").where(F.length("word") >= LETTERS).groupBy("word").agg(F.count("*").alias("n"))
-    return [r.word for r in found.where(F.col("n") * COMMON <= size).orderBy(F.desc("n"), "word").limit(TOPICS).collect()]
+    found = docs.select("text").mapInArrow(_counted, "word string, n long").where(F.length("word") >= LETTERS).groupBy("word").agg(F.sum("n").alias("n"))
+    return [r.word for r in found.where(F.col("n") * COMMON <= n).orderBy(F.desc("n"), "word").limit(TOPICS).collect()]
 
 
 def topic(found: list[bytes], ranks: dict[bytes, int]) -> str:

@@ -332,6 +332,15 @@ def test_values_of_odd_rows(spark):
     assert len(placed) == 2
 
 
+def test_topics_of_all_documents(spark, monkeypatch):
+    """A word that only documents past a sample of 5,000 have; and counts that are sent on in parts."""
+    outside = {i for i in range(6000) if int(hashlib.md5(str(i).encode()).hexdigest()[:13], 16) / (1 << 52) * 6000 >= 5000}
+    df = docs(spark, [(i, f"outside, Outside é{i}" if i in outside else "a") for i in range(6000)], "doc_id long, text string")
+    assert mixing.anchors(df)[0] == "outside"
+    monkeypatch.setattr(mixing, "HELD", 1)
+    assert mixing.anchors(df)[0] == "outside"
+
+
 def test_targets_of_mixing(spark):
     rows = [(i, "one two three", "en", "ab"[i % 2]) for i in range(400)]
     df = docs(spark, rows, "doc_id long, text string, lang string, source string")
