@@ -341,6 +341,14 @@ def test_topics_of_all_documents(spark, monkeypatch):
     assert mixing.anchors(df)[0] == "outside"
 
 
+def test_pipeline_mixes_by_topics_of_all_documents(spark):
+    """A topic that no sample of 5,000 shows has its own share, so documents of the other one go."""
+    outside = {i for i in range(6000) if int(hashlib.md5(str(i).encode()).hexdigest()[:13], 16) / (1 << 52) * 6000 >= 5000 and i % 2}
+    df = docs(spark, [(i, "outside" if i in outside else "a", "en", "s") for i in range(6000)], "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in corpus_pipeline.stage_mixing(spark, df, "").select("doc_id").collect()}
+    assert outside < kept and len(kept) < 6000
+
+
 def test_targets_of_mixing(spark):
     rows = [(i, "one two three", "en", "ab"[i % 2]) for i in range(400)]
     df = docs(spark, rows, "doc_id long, text string, lang string, source string")
