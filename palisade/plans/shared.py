@@ -21,7 +21,17 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Whether Spark removes the shuffle files of an execution at its end, not only once the driver happens to collect garbage.
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once into the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """df, computed once into the shared folder; the shuffle files that it took are removed, as nothing reads them again."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(_FREED, None)
+    spark.conf.set(_FREED, "true")
+    try:
+        return df.select("*").checkpoint()  # the setting holds for frames made under it; df itself can still be run with its own shuffles
+    finally:
+        spark.conf.unset(_FREED) if before is None else spark.conf.set(_FREED, before)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palisade.llm import decontaminate, html_extract, language_id, minhash_dedup, mixing, quality_classifier, quality_rules, sharding, substring_dedup, subword, toxicity
+from palisade.llm import components, decontaminate, html_extract, language_id, minhash_dedup, mixing, quality_classifier, quality_rules, sharding, substring_dedup, subword, toxicity
 from palisade.llm.components import connected
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -255,6 +255,24 @@ def test_long_chains_are_one_component(spark):
     assert {(r.component, r.n) for r in connected(links).groupBy("component").agg(F.count("*").alias("n")).collect()} == {(0, 301), (900, 2)}
 
 
+def test_few_edges_take_few_jobs_and_equal_the_rounds(spark, monkeypatch):
+    """A chain and a random graph, whose rounds took 107 jobs; with rounds for any number of edges, and for all but the last ones."""
+    rng = random.Random(4)
+    pairs = [(i, i + 1) for i in range(300)] + [(1000 + rng.randrange(400), 1000 + rng.randrange(400)) for _ in range(250)]
+    links = docs(spark, pairs, "a long, b long")
+    spark.sparkContext.setJobGroup("few", "few")
+    few = {r.id: r.component for r in connected(links).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 15
+    for most in (-1, 400):
+        monkeypatch.setattr(components, "FEW", most)
+        assert {r.id: r.component for r in connected(links).collect()} == few
+    assert all(few[a] == few[b] <= a for a, b in pairs if a != b)
+    monkeypatch.setattr(components, "FEW", 0)
+    assert connected(links.limit(0)).count() == 0
+
+
 def test_raking_meets_its_targets():
     cells = [(s, x, "t") for s in "ab" for x in "xyz"]
     w, miss = mixing.rake(cells, [5, 1, 3, 2, 2, 8], [{"a": 0.5, "b": 0.5}, {"x": 0.2, "y": 0.3, "z": 0.5}, {"t": 1.0}], 50, 100.0)

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import json
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,6 +116,24 @@ def test_custom_rules(spark):
             rules.load(bad)
 
 
+def test_checkpoints_leave_no_shuffle_files(spark):
+    def shuffled() -> set[str]:
+        names = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return {x for x in names if re.search(r"/shuffle_\d+_", x)}
+
+    freed = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(freed, None)
+    before, rows = shuffled(), spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    out = checkpointed(rows)
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert spark.conf.get(freed, None) == setting
+    assert out.count() == rows.count() == 7 and rows.collect() and checkpointed(rows.join(out, "k")).count() == 7
+
+
 def test_reachability(spark):
     commits = spark.createDataFrame([("a", ["b", "x"]), ("b", ["c"]), ("c", []), ("d", ["c"]), ("e", ["gone"])], "id string, parents array<string>")
     tips = spark.createDataFrame([("a",), ("e",), ("none",)], "id string")
