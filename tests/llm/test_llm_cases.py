@@ -367,6 +367,19 @@ def test_pipeline_mixes_by_topics_of_all_documents(spark):
     assert outside < kept and len(kept) < 6000
 
 
+def test_unit_decides_nothing_but_what_is_kept(spark, monkeypatch):
+    """With numbers under which a sample by unit would be empty, topics, tokens and probabilities stay; then nothing is kept."""
+    df = docs(spark, [(i, "some words" if i % 7 else "other", "en", "ab"[i % 2]) for i in range(60)], "doc_id long, text string, lang string, source string")
+
+    def judged():
+        return sorted((r.row.doc_id, r.n_tokens, r.probability) for r in mixing.probabilities(df).collect())
+
+    names, before = mixing.anchors(df), judged()
+    monkeypatch.setattr(mixing, "unit", lambda doc_id: F.lit(1e6))
+    assert mixing.anchors(df) == names == ["other"] and judged() == before
+    assert mixing.mixed(df).count() == 0
+
+
 def test_targets_of_mixing(spark):
     rows = [(i, "one two three", "en", "ab"[i % 2]) for i in range(400)]
     df = docs(spark, rows, "doc_id long, text string, lang string, source string")
